@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from gleaner.llm.count import op7_token_counts
 from gleaner.llm.encode import op6_byte_bpe
+from gleaner.llm.minhash import ORACLE as NEAR_SQL
+from gleaner.llm.minhash import op4_near_dedup
 from gleaner.llm.pack import op3_packing
 from gleaner.llm.topk import ORACLE as TOPK_SQL
 from gleaner.llm.topk import op10_exact_topk
 
 QUERIES = {
     "op3_packing": op3_packing,
+    "op4_near_dedup": op4_near_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_token_counts": op7_token_counts,
     "op10_exact_topk": op10_exact_topk,
 }
 
-SQL = {"op10_exact_topk": TOPK_SQL}
+SQL = {"op4_near_dedup": NEAR_SQL, "op10_exact_topk": TOPK_SQL}
