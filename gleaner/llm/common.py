@@ -31,11 +31,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             yield b.slice(at, rows)
 
 
-def per_row(df: DataFrame, keep: list[str], column: str, schema: str, make: Callable[[], Callable]) -> DataFrame:
+def per_row(df: DataFrame, keep: list[str], column: str, schema: str, make: Callable[[], Callable], keep_as: str | None = None) -> DataFrame:
     """Append columns computed in Python from one string column.
 
     ``make`` runs once a task and returns a function from a list of strings (nulls included) to a list of columns.
-    The columns in ``keep`` travel along unchanged; a row never leaves its partition.
+    The columns in ``keep`` travel along unchanged, and so does the string column under the name ``keep_as``; a row
+    never leaves its partition.
     """
     arrow = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     added = [tuple(x.strip().split(" ", 1)) for x in schema.split(",")]
@@ -44,11 +45,12 @@ def per_row(df: DataFrame, keep: list[str], column: str, schema: str, make: Call
         work = make()
         for b in slices(batches, "_in"):
             columns = work(b.column("_in").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(v, arrow[t]) for v, (_, t) in zip(columns, added)], names=keep + [n for n, _ in added])
+            old = [b.column(c) for c in keep] + [b.column("_in")] * bool(keep_as)
+            yield pa.RecordBatch.from_arrays(old + [pa.array(v, arrow[t]) for v, (_, t) in zip(columns, added)], names=[*keep, *[keep_as] * bool(keep_as), *[n for n, _ in added]])
 
     kinds = dict(df.dtypes)
     slim = df.select(*[F.col(f"`{c}`") for c in keep], F.col(column).alias("_in"))
-    return slim.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [schema]))
+    return slim.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"`{keep_as}` string"] * bool(keep_as) + [schema]))
 
 
 def with_rank(df: DataFrame, key: list[str], order: list[Column], pid: str, name: str = "rank") -> DataFrame:

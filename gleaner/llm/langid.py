@@ -156,7 +156,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang:
     return Model.fit(x, [drawn[lang][i] for i in keep])
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text", with_text: bool = False) -> DataFrame:
     """lang_pred and score of each row. Null texts and texts without a letter are ``und`` with score 0.
 
     Only the text is looked at. Rows are independent, so ties, repeats and empty tables need no care; a model without
@@ -170,7 +170,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
 
         return work
 
-    return per_row(docs, keep, text, "lang_pred string, score double", make)
+    return per_row(docs, keep, text, "lang_pred string, score double", make, text if with_text else None)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

@@ -11,6 +11,8 @@ from gleaner.llm.pack import op3_packing
 from gleaner.llm.secrets import op1_secret_scan
 from gleaner.llm.shard import op2_ring_shards
 from gleaner.llm.spotsigs import op8_spotsigs
+from gleaner.llm.substring import ORACLE as SUBSTRING_SQL
+from gleaner.llm.substring import op5_substring_dedup
 from gleaner.llm.topk import ORACLE as TOPK_SQL
 from gleaner.llm.topk import op10_exact_topk
 
@@ -19,6 +21,7 @@ QUERIES = {
     "op2_ring_shards": op2_ring_shards,
     "op3_packing": op3_packing,
     "op4_near_dedup": op4_near_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_token_counts": op7_token_counts,
     "op8_spotsigs": op8_spotsigs,
@@ -26,4 +29,4 @@ QUERIES = {
     "op10_exact_topk": op10_exact_topk,
 }
 
-SQL = {"op4_near_dedup": NEAR_SQL, "op10_exact_topk": TOPK_SQL}
+SQL = {"op5_substring_dedup": SUBSTRING_SQL, "op4_near_dedup": NEAR_SQL, "op10_exact_topk": TOPK_SQL}
