@@ -1,6 +1,296 @@
-"""Queries over ordinary tables, one for each operator that can be shown on them, and the equivalent SQL."""
+"""Queries over ordinary tables, one or more for each operator, and SQL that says the same."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.functions import paths, similarity
+from gleaner.operators import groups, match, similar
+from gleaner.operators.cluster import connected_components
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("""
+SELECT sha256(text) AS sha, min(doc_id) AS path, array_to_string(list_sort(list(doc_id))[2:], ',') AS related,
+  count(*) AS count, CAST(min(strlen(text)) * (count(*) - 1) AS BIGINT) AS wasted
+FROM documents WHERE strlen(text) > 0 GROUP BY text HAVING count(*) > 1""")
+def dup_groups(spark, sf_dir):
+    """Exact duplicate groups (A1, A16), largest waste first (O1)."""
+    g = groups.duplicate_groups(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    return g.select("sha", "path", F.array_join(F.col("related").cast("array<string>"), ",").alias("related"), "count", "wasted").orderBy(F.desc("wasted"), "path")
+
+
+@query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size_bytes, CASE WHEN strlen(text) >= 102400 THEN printf('%.0f KB', strlen(text) / 1024) ELSE printf('%.1f KB', strlen(text) / 1024) END AS size FROM documents WHERE strlen(text) > 10240")
+def large_asset(spark, sf_dir):
+    """Items beyond a size, with the size in words."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size_bytes"))
+    return d.where("size_bytes > 10240").withColumn("size", paths.human_bytes("size_bytes"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE strlen(coalesce(text, '')) = 0")
+def empty_file(spark, sf_dir):
+    """Empty items."""
+    return _t(spark, sf_dir, "documents").where(F.octet_length(F.coalesce("text", F.lit(""))) == 0).select("doc_id", "source")
+
+
+@query("SELECT doc_id, source, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def undeclared_on_disk(spark, sf_dir):
+    """Items that nothing declares."""
+    return match.absent(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"), ["doc_id"]).select("doc_id", "source", "lang")
+
+
+@query("SELECT doc_id, quality FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND lang = 'en')")
+def missing_declared(spark, sf_dir):
+    """Declarations without an item."""
+    return match.absent(_t(spark, sf_dir, "labels"), _t(spark, sf_dir, "documents").where("lang = 'en'"), ["doc_id"]).select("doc_id", "quality")
+
+
+_WORDS_SQL = "SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM documents"
+
+
+@query(f"""SELECT lower(w) AS folded, min(w) AS path, array_to_string(list_sort(list(w))[2:], ' ') AS related
+FROM ({_WORDS_SQL}) GROUP BY lower(w) HAVING count(*) > 1""")
+def case_collision(spark, sf_dir):
+    """Names that differ in case alone (A2)."""
+    words = _t(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("w"))
+    return groups.case_collisions(words, "w").withColumn("related", F.array_join("related", " "))
+
+
+@query(r"SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '[A-Za-z0-9_./\\-]+\.[A-Za-z0-9_]{2,5}')) AS token FROM pages")
+def ref_tokens(spark, sf_dir):
+    """File-like tokens in text that isn't parsed."""
+    tokens = F.regexp_extract_all("html", F.lit(r"[\w./\\-]+\.\w{2,5}"), F.lit(0))
+    return _t(spark, sf_dir, "pages").select("page_id", F.explode(tokens).alias("token")).distinct()
+
+
+@query("""
+WITH s AS (SELECT s_suppkey, s_nationkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 6000),
+c AS (SELECT c_custkey, c_nationkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey),
+m AS (SELECT c_custkey, 1 AS tier, s_suppkey FROM c JOIN s ON c_nationkey = s_nationkey
+  UNION ALL SELECT c_custkey, 2, s_suppkey FROM c JOIN s ON c.n_regionkey = s.n_regionkey)
+SELECT c_custkey, tier, count(DISTINCT s_suppkey) AS matches, min(s_suppkey) AS first_match FROM m
+WHERE tier = (SELECT min(tier) FROM m x WHERE x.c_custkey = m.c_custkey) GROUP BY 1, 2""")
+def match_cascade(spark, sf_dir):
+    """Tiered matches: own nation first, region only where the nation has none."""
+    nation = _t(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    s = _t(spark, sf_dir, "supplier").where("s_acctbal > 6000").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", F.col("n_regionkey").alias("s_regionkey"))
+    c = _t(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", "n_regionkey")
+    hits = match.match_cascade(c, s, "c_custkey", [(F.col("c_nationkey"), F.col("s_nationkey")), (F.col("n_regionkey"), F.col("s_regionkey"))], ["s_suppkey"])
+    return hits.groupBy("c_custkey", "tier").agg(F.count("*").alias("matches"), F.min("s_suppkey").alias("first_match"))
+
+
+_ANCESTORS_SQL = """SELECT DISTINCT page_id, array_to_string(parts[1:n], '/') AS ancestor FROM (
+  SELECT page_id, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS parts FROM pages), LATERAL (SELECT unnest(range(1, len(parts))) AS n)"""
+
+
+def _pages(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+
+
+@query(_ANCESTORS_SQL)
+def ancestor_dirs(spark, sf_dir):
+    """All directories above each path (A10)."""
+    return match.ancestor_table(_pages(spark, sf_dir), "page_id", "path")
+
+
+@query(f"SELECT ancestor AS dir, count(*) AS covered, min(page_id) AS first_page FROM ({_ANCESTORS_SQL}) GROUP BY ancestor")
+def prefix_cover(spark, sf_dir):
+    """What each directory covers, as an equi-join on ancestors."""
+    pages = _pages(spark, sf_dir)
+    dirs = match.ancestor_table(pages, "page_id", "path").select(F.col("ancestor").alias("dir")).distinct()
+    return match.prefix_join(dirs, "dir", pages, "page_id", "path").groupBy("dir").agg(F.count("*").alias("covered"), F.min("page_id").alias("first_page"))
+
+
+@query("""
+WITH d AS (SELECT n_name AS dir, n_nationkey AS ord FROM nation UNION ALL SELECT r_name, 100 + r_regionkey FROM region
+  UNION ALL SELECT p_brand, 200 + min(p_partkey) FROM part GROUP BY p_brand UNION ALL SELECT 'Customer#', 1000000),
+s AS (SELECT c_custkey AS ref, c_name || ' ' || n_name || ' ' || c_mktsegment AS seg FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT ref, arg_max(dir, length(dir) * 10000000 - ord) AS dir FROM s JOIN d ON contains(seg, dir) GROUP BY ref""")
+def longest_directory(spark, sf_dir):
+    """The longest known name inside a text, first known on ties."""
+    nation = _t(spark, sf_dir, "nation")
+    dirs = nation.select(F.col("n_name").alias("dir"), F.col("n_nationkey").cast("long").alias("ord"))
+    dirs = dirs.union(_t(spark, sf_dir, "region").select("r_name", (F.col("r_regionkey") + 100).cast("long")))
+    dirs = dirs.union(_t(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_partkey") + 200)).union(spark.createDataFrame([("Customer#", 1000000)], "dir string, ord long"))
+    segs = _t(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("ref"), F.concat_ws(" ", "c_name", "n_name", "c_mktsegment").alias("seg"))
+    return match.longest_directory(segs, "ref", "seg", dirs, "dir", "ord")
+
+
+@query(r"""SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<\?xml.*?\?>', '', 'gs'), '<!--.*?-->', '', 'gs'), '>[\t-\r ]+<', '><', 'g'), '[\t-\r ]+', ' ', 'g'))) AS normalized_hash FROM pages""")
+def markup_normalize(spark, sf_dir):
+    """Markup without comments and blanks between tags, digested."""
+    h = F.regexp_replace(F.regexp_replace("html", r"(?s)<\?xml.*?\?>", ""), r"(?s)<!--.*?-->", "")
+    h = F.regexp_replace(F.regexp_replace(h, r">[\t-\r ]+<", "><"), r"[\t-\r ]+", " ")
+    return _t(spark, sf_dir, "pages").select("page_id", similarity.sha256_hex(F.trim(h)).alias("normalized_hash"))
+
+
+_BITS_SQL = """SELECT vec_id, CAST(list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > embedding[i + 1] THEN CAST(1 AS BIGINT) << CAST(i - 1 AS INTEGER) ELSE 0 END)) AS BIGINT) AS h FROM embeddings"""
+_PAIRS_SQL = f"""SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.h, y.h)) AS INTEGER) AS distance
+FROM ({_BITS_SQL}) x JOIN ({_BITS_SQL}) y ON x.vec_id < y.vec_id AND bit_count(xor(x.h, y.h)) <= 16"""
+
+
+def _hashes(spark, sf_dir):
+    return _t(spark, sf_dir, "embeddings").select("vec_id", similarity.sign_bits("embedding", 63).alias("h"))
+
+
+@query(_PAIRS_SQL)
+def phash_pairs(spark, sf_dir):
+    """Pairs of near fingerprints, by exact banding."""
+    return similar.hamming_pairs(_hashes(spark, sf_dir), "vec_id", "h", 16)
+
+
+def _components_sql(pairs: str) -> str:
+    return f"""WITH RECURSIVE p AS ({pairs}), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r AS (SELECT a AS x, a AS y FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a)
+SELECT x AS node, min(y) AS component FROM r GROUP BY x"""
+
+
+@query(_components_sql(_PAIRS_SQL))
+def phash_clusters(spark, sf_dir):
+    """Single-link clusters of near fingerprints (A3)."""
+    return connected_components(similar.hamming_pairs(_hashes(spark, sf_dir), "vec_id", "h", 16), "a", "b")
+
+
+@query(f"""WITH c AS ({_components_sql(_PAIRS_SQL)}), m AS (SELECT component, node, label, len(embedding) * 4 + label AS size FROM c JOIN embeddings ON node = vec_id)
+SELECT component, count(*) AS count, CAST(sum(size) - max(size) AS BIGINT) AS reclaimable, count(DISTINCT label) > 1 AS scaled FROM m GROUP BY component""")
+def cluster_stats(spark, sf_dir):
+    """Size, reclaimable bytes and mixed kinds of each cluster (A4, A5)."""
+    c = phash_clusters(spark, sf_dir)
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), "label", (F.size("embedding") * 4 + F.col("label")).cast("long").alias("size"))
+    return c.join(e, "node").groupBy("component").agg(F.count("*").alias("count"), (F.sum("size") - F.max("size")).alias("reclaimable"), (F.countDistinct("label") > 1).alias("scaled"))
+
+
+_RATIO = similarity.similarity_ratio(5)
+_DICE_SQL = f"""SELECT a, b FROM (
+  WITH t AS (SELECT text, min(doc_id) AS k FROM documents WHERE length(text) BETWEEN 2 AND 400 GROUP BY text),
+  g AS (SELECT k, length(text) - 1 AS n, text[i:i + 1] AS g, count(*) AS c FROM t, LATERAL (SELECT unnest(range(1, length(text))) AS i) GROUP BY ALL)
+  SELECT x.k AS a, y.k AS b FROM g x JOIN g y ON x.g = y.g AND x.k < y.k GROUP BY x.k, y.k, x.n, y.n HAVING 2 * sum(least(x.c, y.c)) >= {_RATIO} * (x.n + y.n)
+  UNION ALL SELECT k, doc_id FROM t JOIN documents d ON d.text = t.text WHERE doc_id <> k)"""
+
+
+def _short(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").where(F.length("text").between(2, 400))
+
+
+@query(_DICE_SQL)
+def dice_pairs(spark, sf_dir):
+    """Pairs of near texts by bigram overlap."""
+    return similar.dice_pairs(_short(spark, sf_dir), "doc_id", "text", _RATIO)
+
+
+@query(_components_sql(_DICE_SQL))
+def dice_clusters(spark, sf_dir):
+    """Single-link clusters of near texts."""
+    return connected_components(similar.dice_pairs(_short(spark, sf_dir), "doc_id", "text", _RATIO), "a", "b")
+
+
+@query("SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, CAST(max(CASE event_type WHEN 'purchase' THEN 2 WHEN 'view' THEN 1 WHEN 'click' THEN 1 ELSE 0 END) AS INTEGER) AS status FROM events GROUP BY 1, 2")
+def usage_status(spark, sf_dir):
+    """The strongest of several states of a key."""
+    e = _t(spark, sf_dir, "events")
+    state = F.when(F.col("event_type") == "purchase", groups.USED).when(F.col("event_type").isin("view", "click"), groups.POSSIBLY).otherwise(groups.UNUSED)
+    return groups.merge_usage(e.select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), state.alias("status")), ["user_id", "day"])
+
+
+@query("""SELECT c_custkey, CAST(coalesce(max(CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END), 0) AS INTEGER) AS status
+FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""")
+def usage_lookup(spark, sf_dir):
+    """States looked up for every item, unused where nothing marks it."""
+    state = F.when(F.col("o_orderstatus") == "F", 2).when(F.col("o_orderstatus") == "O", 1).otherwise(0)
+    marks = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), state.alias("status"))
+    return groups.lookup_usage(_t(spark, sf_dir, "customer").select("c_custkey"), groups.merge_usage(marks, ["c_custkey"]), ["c_custkey"])
+
+
+@query("""WITH i AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 4 > 0 THEN p_partkey - p_partkey % 4 END AS parent, CAST(p_size % 3 AS INTEGER) AS s FROM part)
+SELECT k, max(s) OVER (PARTITION BY coalesce(parent, k)) AS s FROM i""")
+def variant_propagation(spark, sf_dir):
+    """Variants and parents share the strongest state."""
+    k = F.col("p_partkey")
+    items = _t(spark, sf_dir, "part").select(k.alias("k"), F.when(k % 4 > 0, k - k % 4).alias("parent"), (F.col("p_size") % 3).cast("int").alias("s"))
+    return groups.propagate_variants(items, "k", "parent", "s").select("k", "s")
+
+
+@query("SELECT c.p_brand AS brand, count(*) AS variants, CAST(sum(c.p_size) AS BIGINT) AS size, min(c.p_partkey) AS parent FROM part c GROUP BY c.p_brand")
+def variant_totals(spark, sf_dir):
+    """Number and size of a parent's variants."""
+    return _t(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.count("*").alias("variants"), F.sum("p_size").cast("long").alias("size"), F.min("p_partkey").alias("parent"))
+
+
+@query("SELECT conv_id, arg_min(role, turn) AS role, sha256(arg_min(text, turn)) AS sha FROM conversations GROUP BY conv_id")
+def first_wins(spark, sf_dir):
+    """The first row of a key."""
+    return groups.first_wins(_t(spark, sf_dir, "conversations"), ["conv_id"], ["turn"]).select("conv_id", "role", F.sha2("text", 256).alias("sha"))
+
+
+@query("SELECT conv_id, arg_max(role, turn) AS role FROM conversations GROUP BY conv_id")
+def last_wins(spark, sf_dir):
+    """The last value of a key."""
+    return groups.last_wins(_t(spark, sf_dir, "conversations"), ["conv_id"], "role", "turn")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events) WHERE i <= 20")
+def occ_cap(spark, sf_dir):
+    """At most twenty rows of a key."""
+    return groups.capped(_t(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], 20).select("user_id", "event_id", "event_type")
+
+
+@query("""SELECT l_returnflag, l_linestatus, count(*) FILTER (WHERE l_quantity >= 25) AS large, count(*) FILTER (WHERE l_discount > 0.05) AS discounted,
+  count(*) AS total, CAST(sum(CASE WHEN l_quantity >= 25 THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS reclaimable FROM lineitem GROUP BY 1, 2""")
+def summary_counts(spark, sf_dir):
+    """Many conditional counters in one pass."""
+    li = _t(spark, sf_dir, "lineitem")
+    return groups.counters(li, {"large": F.col("l_quantity") >= 25, "discounted": F.col("l_discount") > 0.05, "total": F.lit(True)}, {"reclaimable": F.when(F.col("l_quantity") >= 25, F.col("l_quantity").cast("long")).otherwise(F.lit(0).cast("long"))}, ["l_returnflag", "l_linestatus"])
+
+
+@query("SELECT count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS error, count(*) FILTER (WHERE o_orderpriority = '2-HIGH') AS warning, count(*) FILTER (WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')) AS info, max(CASE o_orderpriority WHEN '1-URGENT' THEN 2 WHEN '2-HIGH' THEN 1 ELSE 0 END) >= 2 AS should_fail FROM orders")
+def severity_gate(spark, sf_dir):
+    """Counts by severity and whether any reaches the gate."""
+    p = F.col("o_orderpriority")
+    rank = F.when(p == "1-URGENT", 2).when(p == "2-HIGH", 1).otherwise(0)
+    return _t(spark, sf_dir, "orders").agg(F.count_if(rank == 2).alias("error"), F.count_if(rank == 1).alias("warning"), F.count_if(rank == 0).alias("info"), (F.max(rank) >= 2).alias("should_fail"))
+
+
+@query(f"SELECT w FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM benchmark) b WHERE NOT EXISTS (SELECT 1 FROM ({_WORDS_SQL}) d WHERE d.w = b.w)")
+def unused_names(spark, sf_dir):
+    """Declared names that no literal mentions."""
+    words = lambda t: _t(spark, sf_dir, t).select(F.explode(F.split("text", " ")).alias("w")).distinct()
+    return match.absent(words("benchmark"), words("documents"), ["w"])
+
+
+@query(r"""SELECT p_partkey, array_to_string(list_filter([CASE WHEN contains(p_name, ' ') THEN 'spaces' END, CASE WHEN regexp_matches(p_name, '[A-Z]') THEN 'uppercase letters' END,
+  CASE WHEN regexp_matches(p_name, '[^\x00-\x7F]') THEN 'non-ASCII characters' END], lambda x: x IS NOT NULL), ', ') AS problems FROM part
+WHERE contains(p_name, ' ') OR regexp_matches(p_name, '[A-Z]') OR regexp_matches(p_name, '[^\x00-\x7F]')""")
+def filename_problems(spark, sf_dir):
+    """Troublesome names and why (F8)."""
+    return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(paths.filename_problems("p_name"), ", ").alias("problems")).where("problems <> ''")
+
+
+@query(r"""SELECT DISTINCT page_id, 'assets/' || url AS raw, trim(regexp_replace(regexp_replace(replace('assets/' || url, '\', '/'), '^\./', ''), '/+', '/', 'g')) AS path FROM pages""")
+def normalized_paths(spark, sf_dir):
+    """Paths in one spelling."""
+    return _t(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("assets/"), "url").alias("raw")).withColumn("path", paths.normalize_asset_path("raw")).distinct()
+
+
+@query("""SELECT page_id, url FROM pages WHERE regexp_matches(regexp_replace(url, '^[a-z]+://', ''), '^(?:.*/)?[^/]*[02468]$') OR regexp_matches(regexp_replace(url, '^[a-z]+://', ''), '^[^/]*/a[^/]*$')""")
+def ignored_paths(spark, sf_dir):
+    """Paths that any glob covers (F1)."""
+    p = F.regexp_replace("url", "^[a-z]+://", "")
+    return _t(spark, sf_dir, "pages").where(paths.is_ignored(p, ["**/*[02468]", "*/a*"])).select("page_id", "url")
