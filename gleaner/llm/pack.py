@@ -10,8 +10,11 @@ Documents then find their place by their rank among those of equal remainder.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -25,10 +28,25 @@ from gleaner.scratch import materialize
 WINDOW, END = 4096, 2
 
 
+#: Words of one generation of the memo; two generations live at a time, some 200 bytes a word.
+WORDS = 500_000
+#: Words of these characters alone are split here; all others go to the tokenizer library as they are.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
+def _byte_names() -> dict[int, int]:
+    """The printable stand-ins of all bytes in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
+
+
 class WordIds:
-    """Ids of whole texts; text between ASCII white space is encoded on its own and memoized.
+    """Ids of whole texts, as the tokenizer library gives them, little-endian; memoized by word.
 
-    That is exact for vocabularies whose pieces never hold white space, which the constructor's probe confirms.
+    Text between ASCII white space is encoded on its own, which is exact for vocabularies whose pieces never hold
+    white space. Plain words skip the library's normalizer and go straight to its merges.
     """
 
     def __init__(self, path: str):
@@ -36,22 +54,42 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        probe = "One  two,\nthree's\t4 <|x|> \r\nß."
-        if self.t.encode(probe, add_special_tokens=False).ids != [i for w in probe.split() for i in self.t.encode(w, add_special_tokens=False).ids]:
-            raise ValueError("this tokenizer's pieces depend on white space")
-        self.memo = Bounded(self._one)
+        with open(path) as f:
+            spec = json.load(f)
+        self.model = self.t.model.tokenize
+        self.names = _byte_names()
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.piece = Bounded(self._piece)
+        self.memo = Bounded(self._one, WORDS)
+        self.marks = {c: self._piece(chr(c)) for c in b".,;:!?"}
+        probe = "One  two,\nthree's\t4 <|x|> \r\nß. Été token=\"a1B2\" -- n°5"
+        if self.ids(probe) != np.asarray(self.t.encode(probe, add_special_tokens=False).ids, "<u4").tobytes():
+            raise ValueError("this tokenizer isn't of the kind that is encoded here")
+
+    def _piece(self, piece: str) -> bytes:
+        s = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.names)
+        return array("I", [t.id for t in self.model(s)]).tobytes()
 
     def _one(self, word: bytes) -> bytes:
-        return np.asarray(self.t.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def warm(self, words: set[bytes]) -> None:
-        """Encode in one call what the memo lacks."""
+        # a letter before a last mark, and ASCII capitals, change nothing but the memo's key
+        if word[-1] in b".,;:!?" and word[-2:-1].isalpha():
+            return self.memo[word[:-1]] + self.marks[word[-1]]
+        if word.isalpha() and not word.islower():
+            return self.memo[word.lower()]
+        s = word.decode("utf-8", "replace")
+        if not _PLAIN.fullmatch(s) or ("<|" in s and any(t in s for t in self.special)):
+            return np.asarray(self.t.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+        s = s.lower()
+        if s.isalpha():
+            return self._piece(s)
+        piece = self.piece
+        return b"".join([piece[p] if len(p) < 64 else self._piece(p) for p in _PIECES.findall(s)])
+
+    def ids(self, text: str | None) -> bytes:
+        if not text:
+            return b""
         memo = self.memo
-        new = [w for w in words if w not in memo and w not in memo.old]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.t.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                memo.old[w] = np.asarray(e.ids, "<u4").tobytes()
+        return b"".join([memo[w] if len(w) < 64 else self._one(w) for w in text.encode("utf-8", "replace").split()])
 
 
 @functools.lru_cache(2)
@@ -122,11 +160,9 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
         step = 4 * window
 
         def work(texts):
-            words = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
-            enc.warm({w for ws in words for w in ws})
             n, crcs, ids = [], [], []
-            for ws in words:
-                b = b"".join([enc.memo[w] for w in ws]) + stop
+            for t in texts:
+                b = enc.ids(t) + stop
                 n.append(len(b) // 4)
                 crcs.append([zlib.crc32(b[i : i + step]) for i in range(0, len(b), step)])
                 if with_ids:
