@@ -70,3 +70,24 @@ def with_rank(df: DataFrame, key: list[str], order: list[Column], pid: str, name
     shift = shift.withColumnRenamed(pid, "_k_pid")
     joined = inner.join(shift, [*on, F.col(pid) == F.col("_k_pid")])
     return joined.withColumn(name, (F.col("_i") + F.col("_shift")).cast("long")).drop("_i", "_shift", "_k_pid", *[f"_k_{k}" for k in key])
+
+
+#: A side of a join is broadcast where its rows, counted first, take no more than this many bytes.
+BROADCAST_BYTES = 48 << 20
+
+
+def only(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is among ``ids`` (distinct, one column, already written down).
+
+    The ids are counted: few enough go to every task, so that ``df`` isn't shuffled; beyond that both sides are.
+    """
+    return df.join(_sized(ids), key, "left_semi")
+
+
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not among ``ids``, with the same care."""
+    return df.join(_sized(ids), key, "left_anti")
+
+
+def _sized(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() * 24 <= BROADCAST_BYTES else ids

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.bpe import Bounded
-from gleaner.llm.common import per_row, table
+from gleaner.llm.common import only, per_row, table, without
 from gleaner.operators.cluster import connected_components
 from gleaner.scratch import drop, materialize
 
@@ -100,7 +100,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, per
     likely = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     likely = materialize(likely.where(_agreeing("ba", "bb") >= AGREE).select("a", "b", "na", "nb"), "likely")
     wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    texts = only(docs.select("doc_id", "text"), materialize(wanted, "wanted"), "doc_id")
 
     def make():
         shingle = Shingler(size)
@@ -180,8 +180,8 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     """The rows of ``docs`` without all but the least id of every near-duplicate group; one row of an id that repeats."""
     found = materialize(near_duplicates(docs, size, percent, id_col, text).select("doc_id", "kept"), "kept")
     again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias(id_col))
-    gone = found.where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    left = docs.join(gone, id_col, "left_anti")
+    gone = materialize(found.where("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
+    left = without(docs, gone, id_col)
     if again.limit(1).count():
         once = left.join(again, id_col, "left_semi").dropDuplicates([id_col])
         left = left.join(again, id_col, "left_anti").unionByName(once)
