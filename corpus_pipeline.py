@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import langid, minhash, pack, secrets, substring
-from gleaner.llm.common import table, vocabulary
+from gleaner.llm.common import packed, table, unpacked, vocabulary
 from gleaner.scratch import materialize
 from gleaner.shipping import ship
 
@@ -29,9 +29,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in no known language; the others stay as they are."""
     ship(spark)
     model = langid.train(docs)
-    rest = [c for c in docs.columns if c != "text"]
-    found = langid.identify(docs, model, rest, with_text=True)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    found = langid.identify(packed(docs, "text"), model, ["_rest"], "_text", with_text=True)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*unpacked(docs, "text"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

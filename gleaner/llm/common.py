@@ -72,6 +72,20 @@ def with_rank(df: DataFrame, key: list[str], order: list[Column], pid: str, name
     return joined.withColumn(name, (F.col("_i") + F.col("_shift")).cast("long")).drop("_i", "_shift", "_k_pid", *[f"_k_{k}" for k in key])
 
 
+def packed(docs: DataFrame, text: str) -> DataFrame:
+    """(_rest, _text): all other columns as one struct of numbered fields, so that no name can clash on the way."""
+    rest = [c for c in docs.columns if c != text]
+    return docs.select(F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]).alias("_rest"), F.col(f"`{text}`").alias("_text"))
+
+
+def unpacked(docs: DataFrame, text: str, new_text: Column | str = "_text") -> list[Column]:
+    """The columns of ``docs`` again, in their order, out of a table made by ``packed``."""
+    rest = [c for c in docs.columns if c != text]
+    back = {c: F.col(f"_rest.c{i}").alias(c) for i, c in enumerate(rest)}
+    new = F.col(new_text) if isinstance(new_text, str) else new_text
+    return [back.get(c, new.alias(c)) for c in docs.columns]
+
+
 #: A side of a join is broadcast where its rows, counted first, take no more than this many bytes.
 BROADCAST_BYTES = 48 << 20
 

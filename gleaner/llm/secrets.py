@@ -14,7 +14,7 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import table
+from gleaner.llm.common import packed, table, unpacked
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = r"AKIA[A-Z0-9]+", r"[0-9a-f]+"
@@ -64,6 +64,14 @@ def labelled_samples(n: int = 3000, seed: int = 17) -> list[tuple[str, bool]]:
     return out
 
 
+def sample_table(spark: SparkSession) -> DataFrame:
+    """``labelled_samples`` as (value, is_secret), from literals: nothing but the JVM takes part."""
+    rows = labelled_samples()
+    text = {y: "\n".join(v for v, label in rows if label == y) for y in (True, False)}
+    halves = [spark.range(1).select(F.explode(F.split(F.lit(t), "\n")).alias("value"), F.lit(y).alias("is_secret")) for y, t in text.items()]
+    return halves[0].union(halves[1])
+
+
 def weights(samples: DataFrame, value: str = "value", label: str = "is_secret") -> list[int]:
     """The integer log-likelihood ratios of all WIDTH * WIDTH transitions, add-one smoothed.
 
@@ -122,7 +130,7 @@ def scan(docs: DataFrame, samples: DataFrame | None = None, text: str = "text")
     """
     spark = docs.sparkSession
     if samples is None:
-        samples = spark.createDataFrame(labelled_samples(), "value string, is_secret boolean")
+        samples = sample_table(spark)
     model = F.lit(weights(samples))
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     hexes = r"[0-9a-f]{16,}"  # the long matches of [0-9a-f]+ are its maximal runs, so the length may be asked for at once
@@ -144,9 +152,8 @@ def _names(spans: Column) -> Column:
 
 def redact(docs: DataFrame, samples: DataFrame | None = None, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns with every span of ``scan`` cut out and replaced; overlapping spans become one."""
-    columns = docs.columns
-    df = scan(docs, samples, text)
-    t = F.col(f"`{text}`")
+    df = scan(packed(docs, text), samples, "_text")
+    t = F.col("_text")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(s, m):
@@ -156,7 +163,7 @@ def redact(docs: DataFrame, samples: DataFrame | None = None, text: str = "text"
 
     done = F.aggregate("found", start, step)
     clean = F.when(F.size("found") > 0, F.concat(done["out"], F.substring(t, done["at"] + 1, F.length(t)))).otherwise(t)
-    return df.withColumn(text, clean).select(*[F.col(f"`{c}`") for c in columns])
+    return df.withColumn("_clean", clean).select(*unpacked(docs, text, "_clean"))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.bpe import Bounded
-from gleaner.llm.common import per_row, table
+from gleaner.llm.common import packed, per_row, table, unpacked
 from gleaner.llm.minhash import mix
 from gleaner.scratch import materialize
 
@@ -236,10 +236,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", di
     """
     if not ANCHOR <= window <= 70:
         raise ValueError("windows of 8 to 70 words only")
-    added = ["n_words", "n_removed", "kept_sha256" if digest else text]
-    rest = [c for c in docs.columns if c not in (*added, text)]
     # rows are numbered in scan order; unless the rows come straight from files, whose order is fixed, they are written down first
-    held = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("_text"), F.monotonically_increasing_id().alias("_uid"))
+    held = packed(docs, text).withColumn("_uid", F.monotonically_increasing_id())
     if not from_files(docs):
         held = materialize(held, "docs")
     plain = held.select(F.col("_uid").alias("uid"), F.col("_text").alias("text"))
@@ -260,11 +258,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", di
             yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=["uid", "gone", "new_sha", "new_text"])
 
     changed = plain.join(hits, "uid").select("uid", "text", "w").mapInArrow(cut, "uid long, gone long, new_sha string, new_text string")
-    if digest:
-        out = held.drop("_text").join(scanned, F.col("_uid") == F.col("uid")).drop("uid").join(changed, F.col("_uid") == F.col("uid"), "left")
-        return out.select(*[F.col(f"`{c}`") for c in rest], "n_words", F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("new_sha", "sha").alias("kept_sha256"))
-    out = held.join(scanned.select("uid", "n_words"), F.col("_uid") == F.col("uid")).drop("uid").join(changed, F.col("_uid") == F.col("uid"), "left")
-    return out.select(*[F.col(f"`{c}`") for c in rest], F.coalesce("new_text", "_text").alias(text), "n_words", F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"))
+    counted = scanned.select("uid", "n_words", "sha")
+    out = held.drop("_text") if digest else held
+    out = out.join(counted, F.col("_uid") == F.col("uid")).drop("uid").join(changed, F.col("_uid") == F.col("uid"), "left")
+    kept = [c for n, c in zip(docs.columns, unpacked(docs, text, F.lit(None) if digest else F.coalesce("new_text", "_text"))) if n not in ("n_words", "n_removed", "kept_sha256") and not (digest and n == text)]
+    return out.select(*kept, "n_words", F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"), *[F.coalesce("new_sha", "sha").alias("kept_sha256")] * digest)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

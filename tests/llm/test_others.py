@@ -1,0 +1,156 @@
+"""Secrets, shards, languages, top-k and the pipeline."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from gleaner.llm import langid, secrets, shard, topk
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base_spans(t):
+    s = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
+    s += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    return sorted(s + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16])
+
+
+def test_spans_equal_brute_force(spark):
+    r = random.Random(3)
+    atoms = ["token", "Secret", "API_KEY", "apikey", " = ", ": ", "=", '"', "'", "AKIA", "AKIA" + "Q7" * 8, "0123456789abcdef" * 2, "é", "😀", "\n", " ", "abcdef123456", "passwd", "a.b/c+d=e_f-g", "x", "F00D", "deadbeef"]
+    rows = [(i, "".join(r.choice(atoms) for _ in range(r.randrange(25)))) for i in range(300)] + [(900, None), (901, "")]
+    df = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    for x in df.collect():
+        assert [(s.start, s.k, s.end) for s in x.found if s.k < 3] == base_spans(x.text or "")
+        for s in x.found:
+            assert x.text[s.start : s.end] == s.value
+
+
+def test_models_tell_random_from_ordinary(spark):
+    fresh = secrets.labelled_samples(200, seed=99)
+    df = spark.createDataFrame([(i, f"see {v} here", y) for i, (v, y) in enumerate(fresh)], "doc_id long, text string, y boolean")
+    rows = secrets.scan(df).collect()
+    hit = [any(s.k in (2, 3) for s in r.found) for r in rows]
+    assert np.mean([h for h, r in zip(hit, rows) if r.y]) > 0.9 and np.mean([h for h, r in zip(hit, rows) if not r.y]) < 0.02
+    text = "key 9f8aXqPzR7tLmB2vKcW4 and getUserNameByIdentifier_02"
+    out = secrets.redact(spark.createDataFrame([(1, text, 5), (2, None, 6), (3, 'token = "abcdefabcdefabcdef99"!', 7)], "doc_id long, text string, found int")).orderBy("doc_id").collect()
+    assert out[0].text == "key [SECRET] and getUserNameByIdentifier_02" and out[1].text is None and out[2].text == '[SECRET]"!' and out[2].found == 7
+    assert secrets.scan(df.limit(0)).count() == 0 and secrets.weights(spark.createDataFrame([], "value string, is_secret boolean")) == [0] * secrets.WIDTH**2
+
+
+def test_shards_are_even_and_gapless(spark, docs, no_docs, corpus):
+    texts = dict(corpus)
+    rows = shard.shard(docs, 8).collect()
+    by = {}
+    for x in rows:
+        raw = (texts[x.doc_id] or "").encode()
+        assert x.size == len(raw) + 1 and x.text_crc32 == zlib.crc32(raw) and x.law == "rows" and x.grown_shard is None
+        by.setdefault(x.shard, []).append(x.slot)
+    assert len(rows) == len(corpus) and all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1 and set(by) == set(range(8))
+    assert shard.shard(no_docs).count() == 0
+    hot = spark.createDataFrame([(7 if i % 3 else i, "t") for i in range(90)] + [(None, None)] * 10, "doc_id long, text string").repartition(4)
+    sizes = [r["count"] for r in shard.shard(hot, 8).groupBy("shard").count().collect()]
+    assert sum(sizes) == 100 and max(sizes) - min(sizes) <= 1
+
+
+def test_one_more_shard_moves_little():
+    r = random.Random(1)
+    cells = [r.randrange(shard.CELLS) for _ in range(40_000)]
+    counts = {}
+    for c in cells:
+        counts[c] = counts.get(c, 0) + 1
+
+    def homes(n):
+        out = {}
+        for c, lo, hi, s, _ in shard.route(counts, n):
+            for k in range(lo, hi):
+                out[c, k] = s
+        return out
+
+    a, b = homes(8), homes(9)
+    moved = sum(a[k] != b[k] for k in a) / len(a)
+    assert moved < 0.35  # a fresh assignment would move eight ninths
+
+
+LANGS = {
+    "en": "the of and to in is that was he for it with as his on be at by had not are but from or have an they which",
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat",
+    "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur ne se ce il sont avec ils",
+    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha",
+}
+
+
+def test_languages(spark, no_docs):
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice(LANGS[k].split()) for _ in range(25)), k) for i, k in enumerate(list(LANGS) * 40)]
+    train, test = rows[:120], rows[120:]
+    train += [(900, None, "en"), (901, "words", None)]
+    model = langid.train(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    assert model.families == ["germanic", "romance"] and model.languages["romance"] == ["es", "fr"]
+    rows = test + [(903, None, "en"), (904, "12 !?", "en"), (905, "", "x")]
+    got = {x.doc_id: x for x in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model, ["doc_id"]).collect()}
+    assert np.mean([got[i].lang_pred == k for i, _, k in test]) > 0.95 and all(0 <= x.score <= 1 for x in got.values())
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (903, 904, 905))
+    assert langid.identify(no_docs, model, ["doc_id"]).count() == 0
+    assert langid.train(no_docs).predict("some words") == ("und", 0.0)
+    ids = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long").withColumn("h", langid.held_out()).collect()
+    assert all(x.h == (x.doc_id is not None and zlib.crc32(str(x.doc_id).encode()) % 4 == 2) for x in ids)
+
+
+def test_language_features_do_not_depend_on_pieces(monkeypatch):
+    text = "Words and more words, été über " * 50
+    want = langid.features(text)
+    monkeypatch.setattr(langid, "PIECE", 64)
+    assert np.allclose(langid.features(text), want, atol=1e-6)
+
+
+def brute_topk(rows, k, every):
+    v = {}
+    out = []
+    for n, (i, e) in enumerate(rows):
+        if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e):
+            v[n] = (i, [int(np.floor(256 * float(np.float32(x)))) for x in e])
+    for i, q in v.values():
+        if i % every == 0:
+            s = sorted((-sum(a * b for a, b in zip(q, x)), j) for j, x in v.values() if j != i)[:k]
+            out += [(i, r, j, -t) for r, (t, j) in enumerate(s, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_topk_equals_brute_force(monkeypatch, spark, block):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in r.normal(size=8)]) for i in range(120)]
+    rows += [(200 + i, list(rows[i % 3][1])) for i in range(9)]  # ties
+    rows += [(300, None), (301, [1.0, None] + [0.0] * 6), (302, [float("nan")] * 8), (350, [0.0] * 8), (None, [1.0] * 8), (400, [1e5] * 8), (401, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = sorted(tuple(x) for x in topk.top_k(df, 5, 50).collect())
+    assert got == brute_topk(rows, 5, 50)
+    assert topk.top_k(df.limit(0)).count() == 0
+    assert topk.top_k(df.where("vec_id in (0, 7)")).count() == 1
+
+
+def test_pipeline(spark, docs, no_docs, corpus):
+    import corpus_pipeline as p
+
+    assert [n for n, _ in p.STAGES] == ["language_id", "near_dedup", "substring_dedup", "secret_scan", "packing"]
+    df = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    lang = p.language(spark, df, "")
+    gone = {r.doc_id for r in df.collect()} - {r.doc_id for r in lang.collect()}
+    assert gone == {1, 2, 3} and lang.columns == df.columns
+    kept = p.near_dedup(spark, lang, "")
+    ids = {r.doc_id for r in kept.collect()}
+    assert 4 in ids and 5 not in ids and len(ids & set(range(8, 16))) == 1 and kept.columns == df.columns
+    cut = p.substring_dedup(spark, kept, "")
+    assert cut.columns == df.columns and cut.count() == len(ids) and all(r.n_chars == len(r.text) for r in cut.collect())
+    assert p.secret_scan(spark, cut, "").columns == df.columns
+    assert p.packing(spark, cut, "").where("start = 0").count() == len(ids)
+    for name, stage in p.STAGES:
+        assert stage(spark, no_docs.select(df.columns), "").count() == 0, name
+    _ = hashlib
