@@ -84,7 +84,7 @@ def truncate(source: Column | str, most: int = 120) -> Column:
 
 
 def markdown_escape(text: Column | str) -> Column:
-    return F.regexp_replace(F.regexp_replace(_col(text), r"\|", r"\\\\|"), "\n", " ")
+    return F.replace(F.replace(_col(text), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
 
 
 def display(occurrence: Column) -> Column:

@@ -1,6 +1,6 @@
 """Whole audits of small project trees."""
 
-from conftest import only, paths, png, pubspec
+from helpers import only, paths, png, pubspec
 
 A = "assets/images/"
 
