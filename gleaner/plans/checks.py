@@ -24,7 +24,10 @@ from gleaner.sources.project import OCC, Project
 from gleaner.sources.rows import map_rows
 
 FINDING = f"severity string, code string, message string, path string, occurrences array<{OCC}>, related_paths array<string>, data string, reclaimable_bytes long"
-NO_OCC, NO_PATHS = F.expr(f"cast(array() as array<{OCC}>)"), F.expr("cast(array() as array<string>)")
+
+
+def _none(kind: str) -> Column:
+    return F.expr(f"cast(array() as array<{kind}>)")
 
 
 @dataclass
@@ -46,7 +49,7 @@ def finding(df: DataFrame, severity: str, code: Column | str, message: Column, p
     return df.select(
         F.lit(severity).alias("severity"), (F.lit(code) if isinstance(code, str) else code).alias("code"), message.alias("message"),
         (F.lit(None).cast("string") if path is None else F.col(path) if isinstance(path, str) else path).alias("path"),
-        (NO_OCC if occurrences is None else occurrences.cast(f"array<{OCC}>")).alias("occurrences"), (NO_PATHS if related is None else related).alias("related_paths"),
+        (_none(OCC) if occurrences is None else occurrences.cast(f"array<{OCC}>")).alias("occurrences"), (_none("string") if related is None else related).alias("related_paths"),
         data_.alias("data"), (F.lit(0).cast("long") if reclaimable is None else reclaimable.cast("long")).alias("reclaimable_bytes"),
     )
 
@@ -74,13 +77,13 @@ def unused(ctx: Context) -> list[DataFrame]:
     dead = own.where(F.col("status") == groups.UNUSED).join(variants, "path", "left")
     total = F.col("size_bytes") + F.coalesce("variant_bytes", F.lit(0))
     data = {"reclaimableBytes": total, "sizeBytes": F.col("size_bytes"), "package": F.col("package"), "declared": F.col("declared_by").isNotNull(), "variantCount": F.coalesce("n_variants", F.lit(0))}
-    out = [finding(dead, "warning", "UNUSED_ASSET", _say("No reference reaches ", "{path}", " (", P.human_bytes("size_bytes"), ")."), "path", related=F.coalesce("variants", NO_PATHS), data=data, reclaimable=total)]
+    out = [finding(dead, "warning", "UNUSED_ASSET", _say("No reference reaches ", "{path}", " (", P.human_bytes("size_bytes"), ")."), "path", related=F.coalesce("variants", _none("string")), data=data, reclaimable=total)]
     maybe = own.where(F.col("status") == groups.POSSIBLY)
     out.append(finding(maybe, "info", "POSSIBLY_USED_ASSET", _say("Dynamic references alone can reach ", "{path}", "; it is never reported as unused and never deleted."), "path", F.slice("occurrences", 1, 5), data={"sizeBytes": F.col("size_bytes"), "package": F.col("package")}))
     d = ctx.usage.dynamic
     below = d.where("prefix <> ''").select("ref", F.col("prefix").alias("dir")).join(a.select("path", F.explode(F.array_union(P.ancestors("path"), P.ancestors("package_path"))).alias("dir")), "dir")
     below = below.groupBy("ref").agg(F.sort_array(F.collect_set("path")).alias("covered"))
-    d = d.join(below, "ref", "left").withColumn("covered", F.coalesce("covered", NO_PATHS)).withColumn("n", F.size("covered"))
+    d = d.join(below, "ref", "left").withColumn("covered", F.coalesce("covered", _none("string"))).withColumn("n", F.size("covered"))
     text = F.when(F.col("prefix") == "", _say("Dynamic path `", "{raw}", "` is known by file name only; check that it covers what is meant.")).otherwise(_say("Dynamic path `", "{raw}", "` stays below ", "{prefix}", "/, so the ", "{n}", " file(s) there count as possibly used."))
     out.append(finding(d, "info", "DYNAMIC_REFERENCE", text, F.when(F.col("prefix") != "", F.col("prefix")), F.array("occ"), F.col("covered"), {"prefix": F.col("prefix"), "via": F.col("via"), "coveredCount": F.col("n")}))
     u = ctx.usage.unresolvable

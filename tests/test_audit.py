@@ -88,7 +88,7 @@ def test_variants(tree):
     u = only(r, "UNUSED_ASSET")
     assert u["path"] == A + "logo.png" and u["related_paths"] == [A + "2.0x/logo.png", A + "3.0x/logo.png"] and u["data"]["variantCount"] == 2
     assert not paths(r, "SIMILAR_ASSETS") and not paths(r, "SCALED_VARIANT") and not paths(r, "UNDECLARED_ON_DISK")
-    tree.files({"lib/main.dart": "final x = 'assets/images/2.0x/logo.png';"})
+    tree.files({"lib/main.dart": "void f() { g('assets/images/2.0x/logo.png'); }"})
     assert not paths(tree.audit("unused"), "UNUSED_ASSET")
 
 
@@ -96,7 +96,7 @@ def test_packages(tree):
     tree.files({
         "pubspec.yaml": pubspec("app", ["assets/"]), "assets/own.png": png(tweak=9),
         "assets/both.png": png(tweak=5),
-        "lib/main.dart": "final a = Image.asset('packages/design/assets/icons/star.png'); final b = Image.asset('assets/both.png', package: 'design'); final c = 'assets/own.png';",
+        "lib/main.dart": "final a = Image.asset('packages/design/assets/icons/star.png'); final b = Image.asset('assets/both.png', package: 'design'); final c = f('assets/own.png');",
         "packages/design/pubspec.yaml": pubspec("design", ["assets/", "assets/icons/"]),
         "packages/design/assets/icons/star.png": png(), "packages/design/assets/icons/unused.png": png(tweak=7), "packages/design/assets/both.png": png(tweak=6),
     })
@@ -107,7 +107,7 @@ def test_packages(tree):
 
 def test_missing_and_undeclared(tree):
     fonts = "    - family: Roboto\n      fonts:\n        - asset: fonts/roboto.ttf\n"
-    code = "final a = Image.asset('assets/images/typo.png'); final b = 'assets/**/*.json'; final c = 'assets/other/there.png';"
+    code = "final a = Image.asset('assets/images/typo.png'); final b = f('assets/**/*.json'); final c = f('assets/other/there.png');"
     files = {A + "ok.png": png(), A + "nested/deep.png": png(tweak=2), "assets/extra/stray.png": png(tweak=3), "assets/empty/.keep": "", "other/x": ""}
     tree.files({"pubspec.yaml": pubspec(assets=[A, A + "absent.png", "assets/empty/"], fonts=fonts), "lib/main.dart": code} | files)
     r = tree.audit("missing", "hygiene")
@@ -125,7 +125,7 @@ def test_missing_and_undeclared(tree):
 
 
 def test_pure_code_package_reports_no_undeclared_reference(tree):
-    tree.files({"pubspec.yaml": pubspec("tool", flutter=False), "lib/a.dart": "final x = 'assets/none.png';", "assets/a.txt": "x"})
+    tree.files({"pubspec.yaml": pubspec("tool", flutter=False), "lib/a.dart": "final x = f('assets/none.png');", "assets/a.txt": "x"})
     assert not paths(tree.audit("missing"), "UNDECLARED_REFERENCE")
 
 

@@ -44,7 +44,7 @@ def test_usage_errors(spark, tmp_path):
 
 @pytest.fixture
 def project(tree):
-    return tree.files({"pubspec.yaml": pubspec(assets=["assets/a/", "assets/old/"]), "lib/main.dart": "final x = 'assets/a/used.png';", "assets/a/used.png": png(), "assets/a/2.0x/used.png": png(128, 128), "assets/old/orphan.png": png(tweak=3)})
+    return tree.files({"pubspec.yaml": pubspec(assets=["assets/a/", "assets/old/"]), "lib/main.dart": "void main() { show('assets/a/used.png'); }", "assets/a/used.png": png(), "assets/a/2.0x/used.png": png(128, 128), "assets/old/orphan.png": png(tweak=3)})
 
 
 def test_reports_and_gate(spark, project):
