@@ -25,7 +25,7 @@ _STOP = "(?:" + "|".join(sorted(set(COMMON), key=lambda w: (-len(w), w))) + ")"
 _ANCHOR = rf"(?<= )({_STOP})(?= (?:{_STOP} )*+([^ ]+) (?:{_STOP} )*+([^ ]+) )"
 _PAIR = r"(?<= )([^ ]+)(?= ([^ ]+) )"
 #: Rows of neighbouring ids that one window orders, about.
-RUN = 4096
+RUN = 256
 
 
 def signatures(text: Column) -> Column:
@@ -34,7 +34,7 @@ def signatures(text: Column) -> Column:
     A text without anchors takes its pairs of neighbouring words instead; one without those is a single signature.
     Null is taken as empty. Case, punctuation and the kind of white space don't count.
     """
-    norm = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     chains = F.filter(F.split(F.regexp_replace(norm, _ANCHOR, "<$1:$2:$3"), " ", -1), lambda w: w.startswith("<"))
     pairs = F.filter(F.split(F.regexp_replace(norm, _PAIR, "<$1:$2"), " ", -1), lambda w: w.startswith("<"))
     hashed = F.array_sort(F.array_distinct(F.transform(chains, lambda w: F.hash(w))))
@@ -86,7 +86,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     first = own.join(heads.select(F.col("run").alias("of"), "top", "to"), (F.col("run") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("top")))
     first = first.withColumn("i", F.row_number().over(Window.partitionBy("of").orderBy("tie"))).where("i = 1")
     rows = own.select("run", F.lit(0).alias("guest"), "doc_id", "tie", "text").union(first.select("to", F.lit(1), "doc_id", "tie", "text"))
-    rows = rows.withColumn("sigs", signatures(F.col("text")))
+    # texts alone travel; signatures are made where they are ordered
+    rows = rows.repartition("run").withColumn("sigs", signatures(F.col("text")))
     order = Window.partitionBy("run").orderBy("guest", F.desc_nulls_last("doc_id"), "tie")
     rows = rows.select("guest", "doc_id", "text", "sigs", F.lead("text").over(order).alias("next"), F.lead("sigs").over(order).alias("next_sigs")).where("guest = 0")
     n = F.length("text")
