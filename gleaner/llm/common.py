@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator
 
@@ -15,6 +17,29 @@ TOKENIZERS = "/opt/tokenizers"
 SLICE_BYTES = 4 << 20
 
 
+#: What a Python worker keeps from task to task: one encoder at most, whatever ran in the worker before.
+_held: dict[tuple, object] = {}
+
+
+def hold(key: tuple, make: Callable[[], object]) -> object:
+    """The worker's object of this key; objects of other keys are given up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def _let_go(key: tuple | None) -> None:
+    """Give up what an earlier stage's tasks have left in this worker, and return the memory."""
+    if any(k != key for k in _held):
+        _held.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not this C library
+            pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,17 +56,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             yield b.slice(at, rows)
 
 
-def per_row(df: DataFrame, keep: list[str], column: str, schema: str, make: Callable[[], Callable], keep_as: str | None = None) -> DataFrame:
+def per_row(df: DataFrame, keep: list[str], column: str, schema: str, make: Callable[[], Callable], keep_as: str | None = None, held: tuple | None = None) -> DataFrame:
     """Append columns computed in Python from one string column.
 
     ``make`` runs once a task and returns a function from a list of strings (nulls included) to a list of columns.
     The columns in ``keep`` travel along unchanged, and so does the string column under the name ``keep_as``; a row
-    never leaves its partition.
+    never leaves its partition. ``held`` names the object that ``make`` takes from ``hold``, if any.
     """
     arrow = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     added = [tuple(x.strip().split(" ", 1)) for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _let_go(held)
         work = make()
         for b in slices(batches, "_in"):
             columns = work(b.column("_in").to_pylist())

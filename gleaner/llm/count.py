@@ -9,14 +9,13 @@ symbols after its last boundary. Maps compose associatively, so a text of any le
 
 from __future__ import annotations
 
-import functools
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.bpe import Bounded, Merger, Prefixes
-from gleaner.llm.common import per_row, table, vocabulary
+from gleaner.llm.common import hold, per_row, table, vocabulary
 
 SPACE = "▁"
 #: Code points in one chunk, and the states that the compiled transducer may hold.
@@ -110,24 +109,19 @@ class Transducer:
         return self.word[head] + (0 if n is None else n + self.word[tail])
 
 
-@functools.lru_cache(2)
-def transducer_of(path: str) -> Transducer:
-    """One transducer a worker process; it stays compiled from task to task."""
-    return Transducer(read_pieces(path))
-
-
 def count_tokens(docs: DataFrame, path: str, keep: list[str], text: str = "text", limit: int = 4096) -> DataFrame:
     """Bytes, tokens and whether the tokens pass ``limit``. Null and empty texts have none of either.
 
     Rows are independent; repeated rows, ties, extra columns and empty tables need no care.
     """
+    key = ("transducer", path)
 
     def make():
-        t = transducer_of(path)
+        t = hold(key, lambda: Transducer(read_pieces(path)))
         return lambda texts: ([t.count(x) for x in texts],)
 
     sized = docs.select(*keep, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("_text"))
-    return per_row(sized, [*keep, "n_bytes"], "_text", "n_tokens long", make).withColumn("over_limit", F.col("n_tokens") > limit)
+    return per_row(sized, [*keep, "n_bytes"], "_text", "n_tokens long", make, held=key).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

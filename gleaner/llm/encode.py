@@ -7,7 +7,6 @@ is no white space, so a text is cut there first and the resulting chunks are mem
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import re
 
@@ -15,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm.bpe import Bounded, Merger, Prefixes
-from gleaner.llm.common import per_row, table, vocabulary
+from gleaner.llm.common import hold, per_row, table, vocabulary
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space other than space, tab, newline and return, or runs that end in a space: such texts aren't cut first.
@@ -64,21 +63,16 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(","))) if ids else b""
 
 
-@functools.lru_cache(2)
-def codec_of(path: str) -> Codec:
-    """One codec a worker process."""
-    return Codec(path)
-
-
 def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", with_ids: bool = False) -> DataFrame:
     """Token count, digest of the ids and digest of the decoded bytes of each row; ``with_ids`` adds the ids.
 
     Null and empty texts have no tokens and the digests of empty input. Rows are independent: repeated rows give
     repeated results, other columns are not looked at, and an empty table gives an empty result.
     """
+    key = ("codec", path)
 
     def make():
-        codec = codec_of(path)
+        codec = hold(key, lambda: Codec(path))
 
         def work(texts):
             n, ids_hash, out_hash, all_ids = [], [], [], []
@@ -93,7 +87,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", with
 
         return work
 
-    return per_row(docs, keep, text, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * with_ids, make)
+    return per_row(docs, keep, text, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * with_ids, make, held=key)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,6 @@ Documents then find their place by their rank among those of equal remainder.
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
@@ -22,14 +21,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.bpe import Bounded
-from gleaner.llm.common import per_row, table, vocabulary, with_rank
+from gleaner.llm.common import hold, per_row, table, vocabulary, with_rank
 from gleaner.scratch import materialize
 
 WINDOW, END = 4096, 2
 
 
 #: Words of one generation of the memo; two generations live at a time, some 200 bytes a word.
-WORDS = 500_000
+WORDS = 300_000
 #: Words of these characters alone are split here; all others go to the tokenizer library as they are.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
@@ -92,11 +91,6 @@ class WordIds:
         return b"".join([memo[w] if len(w) < 64 else self._one(w) for w in text.encode("utf-8", "replace").split()])
 
 
-@functools.lru_cache(2)
-def ids_of(path: str) -> WordIds:
-    return WordIds(path)
-
-
 def fill(lengths: list[int], counts: dict[int, int], capacity: int) -> dict[int, int]:
     """The multiset of available lengths whose sum comes closest to ``capacity`` from below.
 
@@ -153,10 +147,10 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
     Every id lies in exactly one piece. Null and empty texts consist of the end id alone. Repeated ids and rows are
     packed as often as they occur; columns other than the two named are not looked at. An empty table packs nothing.
     """
-    spark = docs.sparkSession
+    spark, key = docs.sparkSession, ("words", path)
 
     def make():
-        enc, stop = ids_of(path), np.asarray([end], "<u4").tobytes()
+        enc, stop = hold(key, lambda: WordIds(path)), np.asarray([end], "<u4").tobytes()
         step = 4 * window
 
         def work(texts):
@@ -172,7 +166,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
         return work
 
     slim = docs.select(F.col(id_col).alias("doc_id"), text).withColumn("pid", F.spark_partition_id())
-    cut = per_row(slim, ["doc_id", "pid"], text, "doc_tokens long, crcs array<long>" + ", ids binary" * with_ids, make)
+    cut = per_row(slim, ["doc_id", "pid"], text, "doc_tokens long, crcs array<long>" + ", ids binary" * with_ids, make, held=key)
     cut = materialize(cut.withColumn("uid", F.monotonically_increasing_id()), "cut")
     cut = cut.withColumn("rest", (F.col("doc_tokens") % window).cast("int")).withColumn("full", F.floor(F.col("doc_tokens") / window).cast("long"))
     counts = {r["rest"]: r["n"] for r in cut.where("rest > 0").groupBy("rest").agg(F.count("*").alias("n")).collect()}  # below `window` rows
