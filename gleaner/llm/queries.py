@@ -9,6 +9,7 @@ from gleaner.llm.minhash import ORACLE as NEAR_SQL
 from gleaner.llm.minhash import op4_near_dedup
 from gleaner.llm.pack import op3_packing
 from gleaner.llm.secrets import op1_secret_scan
+from gleaner.llm.secrets import oracle as secrets_sql
 from gleaner.llm.shard import op2_ring_shards
 from gleaner.llm.spotsigs import op8_spotsigs
 from gleaner.llm.substring import ORACLE as SUBSTRING_SQL
@@ -29,4 +30,4 @@ QUERIES = {
     "op10_exact_topk": op10_exact_topk,
 }
 
-SQL = {"op5_substring_dedup": SUBSTRING_SQL, "op4_near_dedup": NEAR_SQL, "op10_exact_topk": TOPK_SQL}
+SQL = {"op1_secret_scan": secrets_sql(), "op5_substring_dedup": SUBSTRING_SQL, "op4_near_dedup": NEAR_SQL, "op10_exact_topk": TOPK_SQL}

@@ -81,6 +81,11 @@ def weights(samples: DataFrame, value: str = "value", label: str = "is_secret")
     steps = s.select(F.col(label).alias("y"), F.explode(F.transform(F.sequence(F.lit(1), F.length(value) - 1), lambda i: F.substring(F.col(value), i, F.lit(2)))).alias("t"))
     coded = steps.select("y", (F.instr(F.lit(ALPHABET), F.col("t").substr(1, 1)) * WIDTH + F.instr(F.lit(ALPHABET), F.col("t").substr(2, 1))).alias("k"))
     counts = {(r["y"], r["k"]): r["n"] for r in coded.groupBy("y", "k").agg(F.count("*").alias("n")).collect()}  # 2 * WIDTH^2 rows at most
+    return _ratios(counts)
+
+
+def _ratios(counts: dict[tuple[bool, int], int]) -> list[int]:
+    """Counts of transitions by label to scaled log-likelihood ratios."""
     rows = {y: [sum(counts.get((y, a * WIDTH + b), 0) for b in range(WIDTH)) for a in range(WIDTH)] for y in (True, False)}
 
     def log_p(y: bool, a: int, b: int) -> float:
@@ -171,3 +176,32 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda k: F.size(F.filter("found", lambda s: s["k"] == k)).cast("long")
     base = F.filter("found", lambda s: s["k"] < 3)
     return df.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(_names(base), 256).alias("base_sha256"), _names(F.col("found")).alias("spans"))
+
+
+def oracle() -> str:
+    """The query in SQL, with the weights of the built-in samples written out."""
+    counts: dict[tuple[bool, int], int] = {}
+    for v, y in labelled_samples():
+        c = [ALPHABET.find(x) + 1 for x in v]
+        for a, b in zip(c, c[1:]):
+            counts[y, a * WIDTH + b] = counts.get((y, a * WIDTH + b), 0) + 1
+    patterns = [(ASSIGN.replace("'", "''"), 2, 12), (ACCESS, 0, 18), (HEX, 0, 16), (CANDIDATE, 0, SHORTEST)]
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS k, {least} AS least, regexp_extract_all(t, '{p}') AS w, regexp_extract_all(t, '{p}', {g}) AS g, string_split_regex(t, '{p}') AS gaps FROM d WHERE regexp_matches(t, '{p}')"
+        for k, (p, g, least) in enumerate(patterns)
+    )
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({found}),
+e AS (SELECT doc_id, k, least, unnest(w) AS w, unnest(g) AS g, unnest(gaps[1:len(w)]) AS gap, unnest(range(1, len(w) + 1)) AS i FROM m),
+p AS (SELECT *, sum(length(gap) + length(w)) OVER (PARTITION BY doc_id, k ORDER BY i) AS fin FROM e),
+s AS (SELECT doc_id, k, CAST(fin - length(w) AS BIGINT) AS a, CAST(fin AS BIGINT) AS b, w FROM p WHERE length(g) >= least),
+l AS (SELECT {_ratios(counts)} AS l),
+r AS (SELECT s.* FROM s, l WHERE k = 3 AND regexp_matches(w, '[0-9]') AND regexp_matches(w, '[A-Za-z]')
+  AND list_sum(list_transform(range(1, length(w)), lambda i: l[strpos('{ALPHABET}', w[i]) * {WIDTH} + strpos('{ALPHABET}', w[i + 1]) + 1])) * 100 > {MARGIN * SCALE} * (length(w) - 1)
+  AND NOT EXISTS (SELECT 1 FROM s x WHERE x.doc_id = s.doc_id AND x.k < 3 AND x.a < s.b AND s.a < x.b)),
+u AS (SELECT doc_id, k, a, b, ['assign', 'access', 'hex', 'markov'][k + 1] || ':' || a || ':' || b AS name FROM (SELECT * FROM s WHERE k < 3 UNION ALL SELECT * FROM r))
+SELECT d.doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+  sha256(coalesce(string_agg(name, ',' ORDER BY a, k) FILTER (WHERE k < 3), '')) AS base_sha256, coalesce(string_agg(name, ',' ORDER BY a, k), '') AS spans
+FROM d LEFT JOIN u ON u.doc_id = d.doc_id GROUP BY d.doc_id
+"""
