@@ -34,15 +34,27 @@ def _within(low: int, high: int | None = None) -> Callable[[str], int]:
     return parse
 
 
+def _checks(text: str) -> list[str]:
+    names = text.split(",")
+    for n in names:
+        if n not in (*CHECKS, "all"):
+            raise argparse.ArgumentTypeError(f"no check {n!r}; there are {', '.join([*CHECKS, 'all'])}")
+    return names
+
+
+def _flat(lists: list[list[str]] | None) -> list[str]:
+    return [x for part in lists or [] for x in part]
+
+
 def parser() -> argparse.ArgumentParser:
     p = _Parser("gleaner", description="Audit the assets of a project.", add_help=False)
     a = p.add_argument
     a("--path", "-p", default=None, help="project or workspace root")
-    a("--check", action="append", choices=[*CHECKS, "all"], help="checks to run, comma-free; may repeat")
+    a("--check", action="append", type=_checks, help="checks to run, separated by commas; may repeat")
     a("--format", "-f", choices=["pretty", "json", "markdown"], default="pretty")
     a("--output", "-o", help="write the report there, relative to the root")
     a("--fail-on", choices=["none", "warning", "error"])
-    a("--ignore", action="append", help="glob of paths to leave out; adds to the file's")
+    a("--ignore", action="append", type=lambda s: s.split(","), help="globs of paths to leave out; they add to the file's")
     a("--similarity-threshold", type=_within(0, 64))
     a("--max-file-size-kb", type=_within(0))
     a("--max-hash-size-mb", type=_within(0))
@@ -61,7 +73,7 @@ def settings(o: argparse.Namespace) -> AuditConfig:
     if not os.path.isdir(root):
         raise ConfigError(f"No such directory: {root}")
     c = load_config(root)
-    c = replace(c, ignore=(*c.ignore, *(o.ignore or ())), checks=frozenset(o.check or ["all"]), format=o.format, output=o.output, verbose=o.verbose, delete_unused=o.delete_unused, dry_run=o.dry_run, assume_yes=o.yes, color=o.color and sys.stdout.isatty())
+    c = replace(c, ignore=(*c.ignore, *_flat(o.ignore)), checks=frozenset(_flat(o.check) or ["all"]), format=o.format, output=o.output, verbose=o.verbose, delete_unused=o.delete_unused, dry_run=o.dry_run, assume_yes=o.yes, color=o.color and sys.stdout.isatty())
     if o.fail_on:
         c = replace(c, fail_on=None if o.fail_on == "none" else o.fail_on)
     for name, value in (("similarity_threshold", o.similarity_threshold), ("max_file_size_kb", o.max_file_size_kb), ("max_hash_size", None if o.max_hash_size_mb is None else o.max_hash_size_mb << 20)):

@@ -39,6 +39,9 @@ def test_usage_errors(spark, tmp_path):
     assert call(spark, tmp_path)[0] == 2  # no package
     assert call(spark, tmp_path, "--similarity-threshold", "65")[0] == 2 and call(spark, tmp_path, "--fail-on", "info")[0] == 2
     assert call(spark, tmp_path, "--delete-unused", "--check", "missing")[0] == 2
+    assert call(spark, tmp_path, "--check", "unused,nothing")[0] == 2
+    o = cli.settings(cli.parser().parse_args(["--path", str(tmp_path), "--check", "unused,missing", "--check", "similar", "--ignore", "a/**,b/*", "--fail-on", "none"]))
+    assert o.checks == {"unused", "missing", "similar"} and o.ignore == ("a/**", "b/*") and o.fail_on is None
     assert call(spark, tmp_path, "--help")[0] == 0 and "0.1" in call(spark, tmp_path, "--version")[1]
 
 
