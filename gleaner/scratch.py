@@ -30,7 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/gleaner/{name}-{uuid.uuid4().hex}"
+    """A fresh place in the shared folder; what is written there goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/gleaner/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
