@@ -1,6 +1,6 @@
 """Document fingerprints by SpotSigs, in DataFrame operations only.
 
-Wherever a common word occurs as a word of its own, the chain of the CHAIN content words that follow it (further
+Wherever a common word occurs as a word of its own, the chain of the two content words that follow it (further
 common words are passed over) forms a signature. A fingerprint is the set of a text's signatures. Likeness is the
 sets' Jaccard similarity. ``similar_pairs`` compares whole corpora: partitions of near set lengths meet on the rarest
 signatures of their members only, and length bounds prune what is left before sets are intersected.
@@ -9,6 +9,7 @@ signatures of their members only, and length bounds prune what is left before se
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,22 +25,40 @@ _STOP = "(?:" + "|".join(sorted(set(COMMON), key=lambda w: (-len(w), w))) + ")"
 #: An anchor, and in look-ahead the two content words after it.
 _ANCHOR = rf"(?<= )({_STOP})(?= (?:{_STOP} )*+([^ ]+) (?:{_STOP} )*+([^ ]+) )"
 _PAIR = r"(?<= )([^ ]+)(?= ([^ ]+) )"
+#: Words for each chain beyond which chains alone are too few.
+SPARSE = 5
 #: Rows of neighbouring ids that one window orders, about.
 RUN = 256
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def signatures(text: Column) -> Column:
     """The sorted distinct 32-bit signature hashes of a text, never empty.
 
-    A text without anchors takes its pairs of neighbouring words instead; one without those is a single signature.
-    Null is taken as empty. Case, punctuation and the kind of white space don't count.
+    A text with fewer than one chain in SPARSE words takes its pairs of neighbouring words as well, so that texts in
+    which common words are rare (lists, other languages) are still told by what they share; one without either is a
+    single signature. Null is taken as empty. Case, punctuation and the kind of white space don't count.
     """
     norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    chains = F.filter(F.split(F.regexp_replace(norm, _ANCHOR, "<$1:$2:$3"), " ", -1), lambda w: w.startswith("<"))
-    pairs = F.filter(F.split(F.regexp_replace(norm, _PAIR, "<$1:$2"), " ", -1), lambda w: w.startswith("<"))
-    hashed = F.array_sort(F.array_distinct(F.transform(chains, lambda w: F.hash(w))))
-    spare = F.array_sort(F.array_distinct(F.transform(pairs, lambda w: F.hash(w))))
-    return F.when(norm.rlike(_ANCHOR), hashed).when(norm.rlike(_PAIR), spare).otherwise(F.array(F.hash(norm)))
+    marked = lambda t, pattern, mark: F.split(F.regexp_replace(t, pattern, mark), " ", -1)
+    found = lambda words: F.filter(words, lambda w: w.startswith("<"))
+    hashes = lambda sigs: F.array_sort(F.array_distinct(F.transform(sigs, lambda w: F.hash(w))))
+
+    def of(t: Column) -> Column:
+        def sparse(chains: Column) -> Column:
+            both = F.concat(chains, found(marked(t, _PAIR, "<$1:$2")))
+            return F.when(F.size(both) > 0, hashes(both)).otherwise(F.array(F.hash(t)))
+
+        def choose(words: Column) -> Column:
+            return _let(found(words), lambda chains: F.when(F.size(chains) * SPARSE >= F.size(words) - 2, hashes(chains)).otherwise(sparse(chains)))
+
+        return _let(marked(t, _ANCHOR, "<$1:$2:$3"), choose)
+
+    return _let(norm, of)
 
 
 def likeness(a: Column, b: Column) -> Column:
