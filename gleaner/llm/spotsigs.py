@@ -14,7 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import table
+from gleaner.llm.common import BROADCAST_BYTES, table
+from gleaner.scratch import materialize
 
 #: Common words of English, German, French and Spanish.
 COMMON = """the of and to in is that with by for was this are be on as at or it an he she from have has had not but his her
@@ -101,8 +102,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     heads = docs.select("doc_id", run.alias("run")).groupBy("run").agg(F.max("doc_id").alias("top"))
     above = Window.orderBy("run")
     heads = heads.withColumn("to", F.coalesce(F.lead("run").over(above), F.first("run").over(above.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    heads = materialize(heads.select(F.col("run").alias("of"), "top", "to"), "heads")
+    if heads.count() * 64 <= BROADCAST_BYTES:  # else both sides are shuffled
+        heads = F.broadcast(heads)
     own = docs.withColumn("tie", tie).withColumn("run", run)
-    first = own.join(heads.select(F.col("run").alias("of"), "top", "to"), (F.col("run") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("top")))
+    first = own.join(heads, (F.col("run") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("top")))
     first = first.withColumn("i", F.row_number().over(Window.partitionBy("of").orderBy("tie"))).where("i = 1")
     rows = own.select("run", F.lit(0).alias("guest"), "doc_id", "tie", "text").union(first.select("to", F.lit(1), "doc_id", "tie", "text"))
     # texts alone travel; signatures are made where they are ordered
