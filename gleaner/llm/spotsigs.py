@@ -1,7 +1,8 @@
 """Document fingerprints by SpotSigs, in DataFrame operations only.
 
 Wherever a common word occurs as a word of its own, the chain of the two content words that follow it (further
-common words are passed over) forms a signature. A fingerprint is the set of a text's signatures. Likeness is the
+common words are passed over) forms a signature. As a supplement to SpotSigs, wherever no common word is among a word and
+the STRETCH words after it, that word and the next form a signature too. A fingerprint is the set of a text's signatures. Likeness is the
 sets' Jaccard similarity. ``similar_pairs`` compares whole corpora: partitions of near set lengths meet on the rarest
 signatures of their members only, and length bounds prune what is left before sets are intersected.
 """
@@ -23,11 +24,12 @@ they which their been were will would there der die das und zu den von nicht mit
 für le la les et du un une que qui dans pour par au sur est ne pas il elle ce avec aux en de el los las se por con para y del
 su lo es al como más o""".split()
 _STOP = "(?:" + "|".join(sorted(set(COMMON), key=lambda w: (-len(w), w))) + ")"
-#: An anchor, and in look-ahead the two content words after it.
-_ANCHOR = rf"(?<= )({_STOP})(?= (?:{_STOP} )*+([^ ]+) (?:{_STOP} )*+([^ ]+) )"
-_PAIR = r"(?<= )([^ ]+)(?= ([^ ]+) )"
-#: Words for each chain beyond which chains alone are too few.
-SPARSE = 5
+#: Words without a common word that make a stretch, besides the first.
+STRETCH = 4
+_COMMON = rf"(?<= )(?={_STOP} )"
+#: An anchor, common words being marked, and in look-ahead the two content words after it.
+_ANCHOR = r"~([^ ]++)(?= (?:~[^ ]++ )*+([^ ]++) (?:~[^ ]++ )*+([^ ]++) )"
+_PAIR = r"([^~ ][^ ]*+)(?= ([^~ ][^ ]*+) )(?! (?:[^ ]++ ){0,%d}~)" % (STRETCH - 1)
 #: Rows of neighbouring ids that one window orders, about.
 RUN = 256
 
@@ -40,26 +42,15 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 def signatures(text: Column) -> Column:
     """The sorted distinct 32-bit signature hashes of a text, never empty.
 
-    A text with fewer than one chain in SPARSE words takes its pairs of neighbouring words as well, so that texts in
-    which common words are rare (lists, other languages) are still told by what they share; one without either is a
-    single signature. Null is taken as empty. Case, punctuation and the kind of white space don't count.
+    Pairs of neighbouring words stand in where common words are rare (lists, other languages), by what follows each
+    word alone, so that an edit changes the signatures around it and no others; a text without chain or pair is a single
+    signature. Null is taken as empty. Case, punctuation and the kind of white space don't count.
     """
     norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    marked = lambda t, pattern, mark: F.split(F.regexp_replace(t, pattern, mark), " ", -1)
-    found = lambda words: F.filter(words, lambda w: w.startswith("<"))
+    marked = F.regexp_replace(norm, _COMMON, "~")
+    found = lambda t: F.filter(F.split(F.regexp_replace(t, f"(?<= )(?:{_ANCHOR}|{_PAIR})", "<$1:$2$4:$3$5"), " ", -1), lambda w: w.startswith("<"))
     hashes = lambda sigs: F.array_sort(F.array_distinct(F.transform(sigs, lambda w: F.hash(w))))
-
-    def of(t: Column) -> Column:
-        def sparse(chains: Column) -> Column:
-            both = F.concat(chains, found(marked(t, _PAIR, "<$1:$2")))
-            return F.when(F.size(both) > 0, hashes(both)).otherwise(F.array(F.hash(t)))
-
-        def choose(words: Column) -> Column:
-            return _let(found(words), lambda chains: F.when(F.size(chains) * SPARSE >= F.size(words) - 2, hashes(chains)).otherwise(sparse(chains)))
-
-        return _let(marked(t, _ANCHOR, "<$1:$2:$3"), choose)
-
-    return _let(norm, of)
+    return _let(marked, lambda t: _let(found(t), lambda sigs: F.when(F.size(sigs) > 0, hashes(sigs)).otherwise(F.array(F.hash(t)))))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -148,3 +148,11 @@ def test_similar_pairs_equal_brute_force(docs):
     for percent in (50, 80):
         want = {(min(a, b), max(a, b)) for a, x in items for b, y in items if a != b and 100 * len(x & y) >= percent * len(x | y)}
         assert {(r.a, r.b) for r in spotsigs.similar_pairs(docs, percent).collect()} == want
+
+
+def test_an_edit_changes_the_signatures_around_it_alone(spark):
+    w = " ".join(f"the a{i} b{i} c{i} d{i}" for i in range(40)).split()  # a chain in each five words
+    edited = w[:100] + ["one", "two"] + w[100:]
+    rows = {r.doc_id: set(r.sigs) for r in spotsigs.classes(spark.createDataFrame([(1, " ".join(w)), (2, " ".join(edited)), (3, "salt pepper thyme basil")], "doc_id long, text string")).collect()}
+    assert len(rows[1] & rows[2]) / len(rows[1] | rows[2]) > 0.9
+    assert len(rows[3]) == 3
