@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.paths import ancestors
 
+#: Characters of a segment in which directories are looked for at once.
+PIECE = 256
+
 
 def match_cascade(refs: DataFrame, targets: DataFrame, ref_id: str, tiers: list[tuple[Column, Column]], target_columns: list[str]) -> DataFrame:
     """All targets of the first tier that has any, for each reference.
@@ -39,13 +42,18 @@ def prefix_join(prefixes: DataFrame, prefix: str, items: DataFrame, key: str, pa
 def longest_directory(segments: DataFrame, ref_id: str, segment: str, dirs: DataFrame, directory: str, order: str) -> DataFrame:
     """The longest known directory that a segment of the reference contains; ties go to the first known.
 
-    Containment starts anywhere, so candidates are all substrings that end where a directory can: they are exploded
-    from the (short) segments and met by equality, never by comparing every segment with every directory.
+    Containment starts anywhere, so candidates are all substrings as long as some directory: they are exploded from
+    the segments, of any length, and met by equality, never by comparing every segment with every directory. Segments
+    are cut into pieces that overlap by the longest directory, as a position is searched from a string's start.
     """
-    n = F.length(segment)
-    starts = F.sequence(F.lit(1), n)
-    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(F.col(segment), i, k))))
-    sub = segments.where(n.between(1, 300)).select(ref_id, F.explode(F.array_distinct(parts)).alias(directory))
+    lengths = dirs.where(F.length(directory) > 0).agg(F.collect_set(F.length(directory)).alias("_lengths"))
+    cut = segments.where(F.length(segment) > 0).select(ref_id, F.col(segment).alias("_s")).crossJoin(F.broadcast(lengths)).where(F.size("_lengths") > 0)
+    offsets = F.sequence(F.lit(1), F.length("_s"), F.lit(PIECE))
+    pieces = F.transform(offsets, lambda o: F.substring(F.col("_s"), o, F.array_max("_lengths") + F.lit(PIECE - 1)))
+    cut = cut.select(ref_id, "_lengths", F.explode(pieces).alias("_s"))
+    n = F.length("_s")
+    parts = F.flatten(F.transform(F.filter("_lengths", lambda k: k <= n), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col("_s"), i, k))))
+    sub = cut.select(ref_id, F.explode(F.array_distinct(parts)).alias(directory))
     hit = sub.join(dirs.select(directory, order), directory)
     return hit.groupBy(ref_id).agg(F.max_by(directory, F.struct(F.length(directory), -F.col(order))).alias(directory))
 

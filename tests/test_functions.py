@@ -145,6 +145,16 @@ def test_longest_directory(spark):
     assert {r.ref: r.dir for r in match.longest_directory(seg, "ref", "s", dirs, "dir", "i").collect()} == {1: "assets/icons", 3: "a"}
 
 
+def test_longest_directory_in_long_segments(spark):
+    deep = "d" * 300
+    text = ["x" * k + "assets/icons/" + "y" * 1000 for k in (0, 250, 255, 4321)] + ["z" * 500, "q" * 200 + deep + "/r"]
+    seg = spark.createDataFrame(list(enumerate(text)), "ref long, s string")
+    dirs = spark.createDataFrame([("assets", 1), ("assets/icons", 2), (deep, 3)], "dir string, i long")
+    got = {r.ref: r.dir for r in match.longest_directory(seg, "ref", "s", dirs, "dir", "i").collect()}
+    assert got == {**dict.fromkeys(range(4), "assets/icons"), 5: deep}
+    assert match.longest_directory(seg, "ref", "s", dirs.limit(0), "dir", "i").count() == 0
+
+
 def rows(src):
     return dart.read(src, "a.dart")
 
