@@ -26,7 +26,10 @@ def sign_bits(vector: Column | str, n: int) -> Column:
 def bigrams(text: Column | str) -> Column:
     """All overlapping pairs of characters, repeats included; none for texts shorter than two."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.when(F.length(t) > 1, F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))).otherwise(F.expr("cast(array() as array<string>)"))
+    # a substring by position is searched from the start, so long texts are cut into overlapping pieces first
+    pieces = F.filter(F.regexp_extract_all(t, F.lit("(?s)(?=(.{1,65})).{1,64}"), F.lit(1)), lambda p: F.length(p) > 1)
+    pairs = F.flatten(F.transform(pieces, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 1), lambda i: F.substring(p, i, F.lit(2)))))
+    return F.when(F.length(t) > 1, pairs).otherwise(F.expr("cast(array() as array<string>)"))
 
 
 def similarity_ratio(threshold: int) -> float:

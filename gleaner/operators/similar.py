@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.similarity import bigrams, hamming
+from gleaner.scratch import materialize
+
+#: Classes of bigrams whose counts bound a pair's overlap.
+CLASSES = 64
 
 
 def hamming_pairs(df: DataFrame, key: str, bits: str, threshold: int, width: int = 64) -> DataFrame:
@@ -34,22 +40,34 @@ def dice_pairs(df: DataFrame, key: str, text: str, ratio: float) -> DataFrame:
 
     Texts shorter than two characters pair with their equals only, empty ones with nothing. Equal texts collapse to a
     representative first. Overlap cannot reach the ratio unless the smaller multiset has r / (2 - r) of the larger;
-    and a pair that reaches it shares one of either's rarest bigrams, so pairs meet on those alone.
+    and a pair that reaches it shares one of either's rarest bigrams, so pairs of near lengths meet on those alone.
+    Counts by class of bigrams bound the overlap from above; pairs that pass are compared bigram by bigram.
     """
     rows = df.where(F.length(text) > 0).select(F.col(key).alias("k"), F.col(text).alias("t"))
     reps = rows.groupBy("t").agg(F.min("k").alias("k"))
-    grams = reps.where(F.length("t") > 1).select("k", (F.length("t") - 1).alias("n"), F.explode(bigrams("t")).alias("g"))
-    counts = grams.groupBy("k", "n", "g").agg(F.count("*").alias("c"))
+    grams = reps.where(F.length("t") > 1).select("k", (F.length("t") - 1).alias("n"), bigrams("t").alias("g"))
+    grams = grams.select("k", "n", F.explode("g").alias("g"))  # beside explode, a text's length would be taken for each bigram
+    counts = materialize(grams.groupBy("k", "n", "g").agg(F.count("*").alias("c")), "bigrams")
     # the j-th copy of a bigram is an element of its own: multisets become sets
     elements = counts.select("k", "n", "g", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))).alias("j"))
     df_ = elements.groupBy("g", "j").agg(F.count("*").alias("df"))
     ranked = elements.join(df_, ["g", "j"]).withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("df", "g", "j")))
     # overlap of at least r * (na + nb) / 2 >= r * na / (2 - r)  for every partner long enough
     prefix = ranked.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * F.lit(ratio / (2 - ratio)) - 1e-9) + 1).select("k", "n", "g", "j")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    met = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.k") < F.col("y.k")))
+    # lengths within the ratio fall into the same cell or neighbouring ones
+    prefix = materialize(prefix, "prefixes")
+    cell = F.floor(F.log("n") / F.lit(1e-6 - math.log(ratio / (2 - ratio))))
+    x = prefix.withColumn("cell", cell).alias("x")
+    y = prefix.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1))).alias("y")
+    met = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.k") < F.col("y.k")))
     met = met.where(F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(ratio / (2 - ratio)) - 1e-9)
     met = met.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
+    sums = counts.groupBy("k", F.pmod(F.hash("g"), F.lit(CLASSES)).alias("h")).agg(F.sum("c").alias("c"))
+    sums = sums.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("h", "c"))).alias("m"))
+    sums = sums.select("k", F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda h: F.coalesce(F.try_element_at("m", h), F.lit(0).cast("long"))).alias("m"))
+    most = F.aggregate(F.zip_with("ma", "mb", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda s, v: s + v)
+    met = met.join(sums.select(F.col("k").alias("a"), F.col("m").alias("ma")), "a").join(sums.select(F.col("k").alias("b"), F.col("m").alias("mb")), "b")
+    met = met.where(2 * most >= F.lit(ratio) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
     both = met.join(counts.select(F.col("k").alias("a"), "g", F.col("c").alias("ca")), "a").join(counts.select(F.col("k").alias("b"), "g", F.col("c").alias("cb")), ["b", "g"])
     shared = both.groupBy("a", "b", "na", "nb").agg(F.sum(F.least("ca", "cb")).alias("o"))
     between = shared.where(2 * F.col("o") >= F.lit(ratio) * (F.col("na") + F.col("nb"))).select("a", "b")

@@ -202,6 +202,22 @@ def dice_clusters(spark, sf_dir):
     return connected_components(similar.dice_pairs(_short(spark, sf_dir), "doc_id", "text", _RATIO), "a", "b")
 
 
+#: The same of all documents; short texts alone are kept above as they were.
+_DICE_WHOLE_SQL = _DICE_SQL.replace("BETWEEN 2 AND 400", "> 0")
+
+
+@query(_DICE_WHOLE_SQL)
+def dice_pairs_whole(spark, sf_dir):
+    """Pairs of near texts by bigram overlap, of all documents and whole texts."""
+    return similar.dice_pairs(_t(spark, sf_dir, "documents"), "doc_id", "text", _RATIO)
+
+
+@query(_components_sql(_DICE_WHOLE_SQL))
+def dice_clusters_whole(spark, sf_dir):
+    """Single-link clusters of near texts, of all documents and whole texts."""
+    return connected_components(dice_pairs_whole(spark, sf_dir), "a", "b")
+
+
 @query("SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, CAST(max(CASE event_type WHEN 'purchase' THEN 2 WHEN 'view' THEN 1 WHEN 'click' THEN 1 ELSE 0 END) AS INTEGER) AS status FROM events GROUP BY 1, 2")
 def usage_status(spark, sf_dir):
     """The strongest of several states of a key."""

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,6 +156,23 @@ def test_longest_directory_in_long_segments(spark):
     assert match.longest_directory(seg, "ref", "s", dirs.limit(0), "dir", "i").count() == 0
 
 
+def test_whole_dice_pairs_of_long_documents(spark, tmp_path):
+    from __spark_entry__ import queries
+    from gleaner.plans.catalog import _RATIO
+
+    r = random.Random(6)
+    base = [" ".join("".join(r.choice("abcdefgäß😀") for _ in range(r.randrange(2, 8))) for _ in range(n)) for n in (150, 150, 900, 3)]
+    texts = [x for b in base for x in (b, b, b[:-2] + "zz", b[: len(b) * 2 // 3])] + ["", None, "a", "a"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    grams = [Counter(t[i : i + 2] for i in range(len(t) - 1)) if t else Counter() for t in texts]
+    of = texts.index
+    want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if texts[a] and texts[a] == texts[b] and a == of(texts[b])}
+    want |= {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if texts[a] != texts[b] and a == of(texts[a]) and b == of(texts[b]) and grams[a] and grams[b] and 2 * (grams[a] & grams[b]).total() >= _RATIO * (grams[a].total() + grams[b].total())}
+    assert any(len(texts[a]) > 400 and texts[a] != texts[b] for a, b in want)
+    assert {(x.a, x.b) for x in queries()["dice_pairs_whole"](spark, str(tmp_path)).collect()} == want
+    assert {x.node: x.component for x in queries()["dice_clusters_whole"](spark, str(tmp_path)).collect()}[2] == 0
+
+
 def rows(src):
     return dart.read(src, "a.dart")
 
