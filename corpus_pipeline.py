@@ -13,7 +13,8 @@ from gleaner.llm.common import packed, table, unpacked, vocabulary
 from gleaner.scratch import materialize
 from gleaner.shipping import ship
 
-#: A document goes where no language is found, or where the classifiers' confidence is below this.
+#: A document goes where no language is found, or where the classifiers' confidence is below this. With two
+#: families of two languages each confidence is 0.25 at least, and only texts without a letter go.
 LEAST_SCORE = 0.1
 SHINGLE_WORDS, PERCENT, PASSAGE_WORDS = 5, 80, 35
 
