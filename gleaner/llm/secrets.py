@@ -26,6 +26,8 @@ WIDTH = len(ALPHABET) + 1
 #: Weights are natural logarithms times SCALE, rounded: sums are exact. A token counts as random where its mean
 #: transition favours the random model by this many hundredths of a nat, it mixes letters and digits.
 SCALE, MARGIN = 1000, 40
+#: The same for tokens of letters without a digit, where a scan is asked for these as well.
+LETTERS_MARGIN = 60
 
 _WORDS = """the of and to in is for that with this from are be was were by on not have has had but they which you all their
 an will would there what about when who make can time just him know take people into year your good some could them see other
@@ -126,11 +128,12 @@ def _matches(text: Column, pattern: str, kind: str, measured: int, least: int) -
     return F.when(text.rlike(pattern), F.aggregate(sized, start, step)["out"]).otherwise(empty)
 
 
-def scan(docs: DataFrame, samples: DataFrame | None = None, text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, samples: DataFrame | None = None, text: str = "text", whole: bool = False) -> DataFrame:
     """Append ``found``: all spans of each text as array<struct<start, k, end, value>>, sorted.
 
     k is 0 for assignments, 1 for access keys, 2 for hexadecimal runs and 3 for what the models add: tokens of letters
-    and digits that look random and overlap no other span. Offsets are code points, ends exclusive. Null and empty
+    and digits that look random and overlap no other span. With ``whole`` tokens without digits are judged too, by
+    LETTERS_MARGIN, and tokens that overlap other spans stay, so that no rest of them is left. Offsets are code points, ends exclusive. Null and empty
     texts have no spans. Rows are independent; other columns stay as they are.
     """
     spark = docs.sparkSession
@@ -146,7 +149,11 @@ def scan(docs: DataFrame, samples: DataFrame | None = None, text: str = "text")
     mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")
     random_ = lambda m: mixed(m["value"]) & (_score(m["value"], model) * 100 > MARGIN * SCALE * (F.length(m["value"]) - 1))
     alone = lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    more = F.filter("_more", lambda m: alone(m) & random_(m))
+    if whole:
+        least = lambda v: F.when(v.rlike("[0-9]"), F.lit(MARGIN)).otherwise(F.lit(LETTERS_MARGIN))
+        more = F.filter("_more", lambda m: m["value"].rlike("[A-Za-z]") & (_score(m["value"], model) * 100 > least(m["value"]) * SCALE * (F.length(m["value"]) - 1)))
+    else:
+        more = F.filter("_more", lambda m: alone(m) & random_(m))
     return df.withColumn("found", F.when(F.size("_more") > 0, F.array_sort(F.concat("_base", more))).otherwise(F.col("_base"))).drop("_base", "_more")
 
 
@@ -156,8 +163,8 @@ def _names(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, samples: DataFrame | None = None, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The same rows and columns with every span of ``scan`` cut out and replaced; overlapping spans become one."""
-    df = scan(packed(docs, text), samples, "_text")
+    """The same rows and columns with every span of a whole ``scan`` cut out and replaced; overlapping spans become one."""
+    df = scan(packed(docs, text), samples, "_text", whole=True)
     t = F.col("_text")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 

@@ -154,3 +154,10 @@ def test_pipeline(spark, docs, no_docs, corpus):
     for name, stage in p.STAGES:
         assert stage(spark, no_docs.select(df.columns), "").count() == 0, name
     _ = hashlib
+
+
+def test_redaction_of_letters_alone_and_of_rests(spark):
+    letters, rest = "qXvZkWpJrTbHzQnGxLcVfKdM", "Zq7RwX0Kp" + "0123456789abcdef" + "Tz9QvLk4XwJ"
+    rows = [(1, f"a {letters} b"), (2, f"a {rest} b"), (3, "einlichheitenpfpfver getUserNameFromSessionTable")]
+    out = secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.text for r in out] == ["a [SECRET] b", "a [SECRET] b", rows[2][1]]
