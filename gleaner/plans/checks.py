@@ -18,7 +18,7 @@ from gleaner.functions import similarity, svg
 from gleaner.operators import groups, match, similar
 from gleaner.operators.cluster import connected_components
 from gleaner.plans.resolve import Resolution
-from gleaner.scratch import materialize
+from gleaner.scratch import materialize, new_path
 from gleaner.sources import images
 from gleaner.sources.project import OCC, Project
 from gleaner.sources.rows import map_rows
@@ -153,13 +153,23 @@ def contents(ctx: Context) -> DataFrame:
 
 
 def _jvm_images(ctx: Context) -> DataFrame | None:
-    """Fingerprints of JPEG, GIF and BMP files by Spark's image source, which skips names that start with ``_``."""
+    """Fingerprints of JPEG, GIF and BMP files by Spark's image source, which skips names that start with ``_``: copies are read for those."""
     rows = ctx.project.assets.where(P.extension("path").isin(".jpg", ".jpeg", ".gif", ".bmp") & (F.col("size_bytes") <= ctx.config.max_hash_size)).select("absolute_path", "path").collect()  # paths alone
-    rows = [r for r in rows if not os.path.basename(r["path"]).startswith("_")]
     if not rows:
         return None
     spark = ctx.project.assets.sparkSession
-    pixels = spark.read.format("image").option("dropInvalid", True).load([r["absolute_path"].replace(",", "?") for r in rows])
+    names = ctx.project.assets.select("absolute_path", "path")
+    hidden = [r for r in rows if os.path.basename(r["path"]).startswith("_")]
+    seen = [r["absolute_path"].replace(",", "?") for r in rows if not os.path.basename(r["path"]).startswith("_")]
+    if hidden:
+        folder, jvm_path = new_path(spark, "images"), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        copies = [f"{folder}/{i}{os.path.splitext(r['path'])[1]}" for i, r in enumerate(hidden)]
+        for at, r in zip(copies, hidden):
+            to = jvm_path(at)
+            to.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(jvm_path("file", None, r["absolute_path"]), to)
+        seen += copies
+        names = names.unionByName(spark.createDataFrame([(re.sub("^file:(//)?", "", at), r["path"]) for at, r in zip(copies, hidden)], "absolute_path string, path string"))
+    pixels = spark.read.format("image").option("dropInvalid", True).load(seen)
 
     def make():
         def work(r: dict):
@@ -170,7 +180,7 @@ def _jvm_images(ctx: Context) -> DataFrame | None:
         return work
 
     prints = map_rows(pixels.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data"), make, "absolute_path string, o_width int, o_height int, o_d_hash long, o_has_alpha boolean, o_uses_transparency boolean")
-    return prints.join(ctx.project.assets.select("absolute_path", "path"), "absolute_path").drop("absolute_path")
+    return prints.join(names, "absolute_path").drop("absolute_path")
 
 
 def duplicates(ctx: Context) -> list[DataFrame]:

@@ -1,5 +1,7 @@
 """Whole audits of small project trees."""
 
+import struct
+
 from helpers import only, paths, png, pubspec
 
 A = "assets/images/"
@@ -191,3 +193,16 @@ def test_order_and_custom_check(tree, spark):
     r = audit.run(spark, AuditConfig(str(tree.root)), checks.REGISTRY | {"mine": mine})
     key = [({"error": 0, "warning": 1, "info": 2}[f["severity"]], f["code"], f["path"] or "") for f in r.rows]
     assert key == sorted(key) and len(paths(r, "MINE")) == 2
+
+
+def bmp(size: int) -> bytes:
+    """A 24-bit grey ramp."""
+    row = b"".join(bytes([(x * 255) // (size - 1)] * 3) for x in range(size))
+    body = (row + bytes(-len(row) % 4)) * size
+    return b"BM" + struct.pack("<IHHIIiiHHIIiiII", 54 + len(body), 0, 0, 54, 40, size, size, 1, 24, 0, len(body), 2835, 2835, 0, 0) + body
+
+
+def test_scaled_variants_of_names_with_an_underscore(tree):
+    r = app(tree, {A + "_big.bmp": bmp(64), A + "small.bmp": bmp(32)}, "").audit("similar")
+    s = only(r, "SCALED_VARIANT")
+    assert {s["path"], *s["related_paths"]} == {A + "_big.bmp", A + "small.bmp"}
