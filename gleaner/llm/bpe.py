@@ -13,7 +13,7 @@ from collections.abc import Callable
 import ahocorasick
 
 #: Entries of one generation of a cache, so that a task's memory has a bound.
-CACHE = 200_000
+CACHE = 100_000
 
 
 class Merger:

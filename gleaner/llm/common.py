@@ -29,15 +29,16 @@ def hold(key: tuple, make: Callable[[], object]) -> object:
     return _held[key]
 
 
-def _let_go(key: tuple | None) -> None:
-    """Give up what an earlier stage's tasks have left in this worker, and return the memory."""
+def let_go(key: tuple | None = None) -> None:
+    """Called where a task begins: give up what earlier tasks have left in this worker, and return the memory."""
     if any(k != key for k in _held):
         _held.clear()
-        gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # not this C library
-            pass
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +68,7 @@ def per_row(df: DataFrame, keep: list[str], column: str, schema: str, make: Call
     added = [tuple(x.strip().split(" ", 1)) for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _let_go(held)
+        let_go(held)
         work = make()
         for b in slices(batches, "_in"):
             columns = work(b.column("_in").to_pylist())

@@ -95,10 +95,47 @@ def brute_removed(rows, window):
 @pytest.mark.parametrize("window,group", [(35, 20_000), (8, 20_000), (12, 1), (35, 0)])
 def test_removal_equals_brute_force(monkeypatch, docs, corpus, window, group):
     monkeypatch.setattr(substring, "GROUP", group)
+    monkeypatch.setattr(substring, "STEP", 4)
     got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(docs.select("doc_id", "text", "uid"), window, digest=True).collect())
     assert got == brute_removed(corpus, window)
 
 
+def test_trees_alone_give_the_repeats():
+    """Depths and covered words of one tree over several strings, without anchors, hashes of spans or prefixes."""
+    r = random.Random(7)
+    for window in (3, 8):
+        rows = [[r.randrange(3) for _ in range(r.randrange(window, 30))] for _ in range(12)]
+        rows.append(list(rows[0]))
+        words = np.array([w for x in rows for w in x], np.uint64)
+        sizes = np.array([len(x) for x in rows])
+        row, lo, hi = substring.repeated_words(words, sizes, sizes - window + 1, window)
+        got = {(i, j) for i, a, b in zip(row.tolist(), lo.tolist(), hi.tolist()) for j in range(a, b)}
+        seen = Counter(tuple(x[i : i + window]) for x in rows for i in range(len(x) - window + 1))
+        assert got == {(k, j) for k, x in enumerate(rows) for s in range(len(x) - window + 1) if seen[tuple(x[s : s + window])] > 1 for j in range(s, s + window)}
+        starts = np.concatenate([np.arange(n - window + 1) + at for n, at in zip(sizes, np.cumsum(sizes) - sizes)])
+        depth = substring.node_depths(words, sizes, starts, 1)
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        tails = {int(s): tuple(words[s : ends[s]].tolist()) for s in starts}
+        for s in tails:  # the longest prefix shared with any other suffix
+            best = max(next((k for k, (a, b) in enumerate(zip(tails[s], tails[o])) if a != b), min(len(tails[s]), len(tails[o]))) for o in tails if o != s)
+            assert depth[s] == best
+
+
+def test_removal_outlives_a_change_of_splits(spark, docs, corpus, tmp_path):
+    """Executors may come or go between the scans, and files are then cut otherwise."""
+    docs.select("doc_id", "text").repartition(5).write.parquet(f"{tmp_path}/d")
+    out = substring.remove_repeats(spark.read.parquet(f"{tmp_path}/d"), digest=True)
+    keys = {"spark.sql.files.minPartitionNum": "37", "spark.sql.files.openCostInBytes": "1"}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out.collect())
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    assert got == brute_removed(corpus, 35)
+
+
 def test_removal_in_repetitive_text_and_repeated_rows(spark, no_docs):
     r = random.Random(1)
     rows = [(1, "x " * 90), (2, "a b " * 40), (3, "a b " * 17 + "c"), (4, " ".join(f"q{i}" for i in range(40))), (4, " ".join(f"q{i}" for i in range(40))), (5, " ".join(r.choice("ab") for _ in range(300))), (None, None)]
