@@ -10,9 +10,16 @@ from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
 
+#: Bytes that go to a Python worker at a time, where the session doesn't say: texts are long, and batches of the
+#: default size would be held several times over.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def ship(spark: SparkSession) -> None:
-    """Add the package to the job's Python files, once an application."""
+    """Add the package to the job's Python files, once an application, and bound the batches that go to Python."""
+    if not spark.sparkContext.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _sent:
         return
