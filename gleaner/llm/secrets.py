@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,14 +21,15 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS, HEX = r"AKIA[A-Z0-9]+", r"[0-9a-f]+"
 #: What the models judge: runs of these characters, of this length at least.
 CANDIDATE, SHORTEST = r"[A-Za-z0-9+/_=-]+", 20
+TOKEN = r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST
+#: Assignments with a value long enough; wherever ASSIGN finds such a one, this does too.
+LONG_ASSIGN = ASSIGN.replace("+)", "{12,})")
 #: Characters of the models: each letter and digit, and one for all others.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 WIDTH = len(ALPHABET) + 1
-#: Weights are natural logarithms times SCALE, rounded: sums are exact. A token counts as random where its mean
-#: transition favours the random model by this many hundredths of a nat, it mixes letters and digits.
-SCALE, MARGIN = 1000, 40
-#: The same for tokens of letters without a digit, where a scan is asked for these as well.
-LETTERS_MARGIN = 60
+#: Weights are natural logarithms times SCALE, rounded: sums are exact. A token with a letter counts as random where its
+#: mean transition favours the random model by this many hundredths of a nat; without a digit it takes the second.
+SCALE, MARGIN, LETTERS_MARGIN = 1000, 40, 60
 
 _WORDS = """the of and to in is for that with this from are be was were by on not have has had but they which you all their
 an will would there what about when who make can time just him know take people into year your good some could them see other
@@ -104,57 +106,79 @@ def _score(token: Column, table_: Column) -> Column:
     return fold["sum"]
 
 
+def _running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Running sums, or running anything associative, of an array of longs: log n rounds over the whole array."""
+
+    def one(acc: Column, k: Column) -> Column:
+        back = F.slice(F.concat(F.array_repeat(F.lit(None).cast("long"), F.pow(F.lit(2.0), k).cast("int")), acc), 1, F.size(acc))
+        return F.zip_with(acc, back, lambda x, y: F.when(y.isNull(), x).otherwise(op(x, y)))
+
+    rounds = lambda v: F.sequence(F.lit(0), F.ceil(F.log2(F.size(v))).cast("int") - 1)
+    return _let(values, lambda v: F.when(F.size(v) > 1, F.aggregate(rounds(v), v, one)).otherwise(v))
+
+
 def _matches(text: Column, pattern: str, kind: str, measured: int, least: int) -> Column:
     """The leftmost non-overlapping matches as structs (start, k, end, value), those with a short group dropped.
 
-    Regular expressions here tell no positions, but the pieces between the matches do: a match starts where the
-    pieces and matches before it end.
+    Regular expressions here tell no positions, but the pieces between the matches do: a match ends where the running
+    sum of the pieces and matches up to it says.
     """
     order = {"assign": 0, "access": 1, "hex": 2, "markov": 3}[kind]
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     group = F.regexp_extract_all(text, F.lit(pattern), F.lit(measured)) if measured else whole
     gaps = F.split(text, pattern, -1)
-    sized = F.zip_with(F.zip_with(whole, group, lambda w, g: F.struct(w.alias("w"), g.alias("g"))), F.slice(gaps, 1, F.size(whole)), lambda m, gap: F.struct(m["w"].alias("w"), m["g"].alias("g"), F.length(gap).alias("gap")))
-    kind_ = "array<struct<start:int,k:int,end:int,value:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {kind_})").alias("out"))
 
-    def step(s, m):
-        begin = s["at"] + m["gap"]
-        end = begin + F.length(m["w"])
-        keep = F.struct(begin.alias("start"), F.lit(order).alias("k"), end.alias("end"), m["w"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(m["g"]) >= least, F.concat(s["out"], F.array(keep))).otherwise(s["out"]).alias("out"))
+    def placed(w: Column) -> Column:
+        ends = _running(F.zip_with(w, F.slice(gaps, 1, F.size(w)), lambda m, gap: (F.length(gap) + F.length(m)).cast("long")), lambda x, y: x + y)
+        spans = F.zip_with(w, ends, lambda m, e: F.struct((e - F.length(m)).cast("int").alias("start"), F.lit(order).alias("k"), e.cast("int").alias("end"), m.alias("value")))
+        if not measured:
+            return F.filter(spans, lambda s: F.length(s["value"]) >= least)
+        both = F.filter(F.zip_with(spans, group, lambda s, g: F.struct(s.alias("s"), (F.length(g) >= least).alias("ok"))), lambda x: x["ok"])
+        return F.transform(both, lambda x: x["s"])
+
+    empty = F.expr("cast(array() as array<struct<start:int,k:int,end:int,value:string>>)")
+    return F.when(text.rlike(pattern), _let(whole, placed)).otherwise(empty)
+
 
-    empty = F.expr(f"cast(array() as {kind_})")
-    return F.when(text.rlike(pattern), F.aggregate(sized, start, step)["out"]).otherwise(empty)
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
-def scan(docs: DataFrame, samples: DataFrame | None = None, text: str = "text", whole: bool = False) -> DataFrame:
+def _looks_random(value: Column, model: Column) -> Column:
+    """Whether the models take a token for random, by the mean of its transitions; tokens without a digit need more."""
+    least = F.when(value.rlike("[0-9]"), F.lit(MARGIN)).otherwise(F.lit(LETTERS_MARGIN))
+    return value.rlike("[A-Za-z]") & (_score(value, model) * 100 > least * SCALE * (F.length(value) - 1))
+
+
+def _outside(spans: Column) -> Column:
+    """Sorted spans without those of the models that lie wholly inside another span: these add nothing."""
+    reach = _running(F.transform(spans, lambda s: F.when(s["k"] < 3, s["end"]).otherwise(0).cast("long")), lambda x, y: F.greatest(x, y))
+    kept = F.filter(F.zip_with(spans, reach, lambda s, r: F.struct(s.alias("s"), ((s["k"] < 3) | (r < s["end"])).alias("ok"))), lambda x: x["ok"])
+    return F.transform(kept, lambda x: x["s"])
+
+
+def scan(docs: DataFrame, samples: DataFrame | None = None, text: str = "text") -> DataFrame:
     """Append ``found``: all spans of each text as array<struct<start, k, end, value>>, sorted.
 
-    k is 0 for assignments, 1 for access keys, 2 for hexadecimal runs and 3 for what the models add: tokens of letters
-    and digits that look random and overlap no other span. With ``whole`` tokens without digits are judged too, by
-    LETTERS_MARGIN, and tokens that overlap other spans stay, so that no rest of them is left. Offsets are code points, ends exclusive. Null and empty
-    texts have no spans. Rows are independent; other columns stay as they are.
+    k is 0 for assignments, 1 for access keys, 2 for hexadecimal runs and 3 for what the models add: whole tokens that
+    look random and don't lie inside another span. ``samples`` are labelled rows (value, is_secret) that the models
+    are trained on; without them it is the built-in ones. Offsets are code points, ends exclusive. Null and empty texts
+    have no spans. A very long text is one row, and the work grows with its length and the number of its spans. Rows are
+    independent, so repeated rows repeat their spans; other columns stay as they are whatever their names, except that
+    a column ``found`` is replaced. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    if samples is None:
-        samples = sample_table(spark)
-    model = F.lit(weights(samples))
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    model = F.lit(weights(sample_table(spark) if samples is None else samples))
+    df = packed(docs, text)
+    t = F.coalesce(F.col("_text"), F.lit(""))
     hexes = r"[0-9a-f]{16,}"  # the long matches of [0-9a-f]+ are its maximal runs, so the length may be asked for at once
-    access = r"AKIA[A-Z0-9]{14,}"
-    base = F.concat(_matches(t, ASSIGN, "assign", 2, 12), _matches(t, access, "access", 0, 18), _matches(t, hexes, "hex", 0, 16))
-    judged = _matches(t, r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST, "markov", 0, SHORTEST)
-    df = docs.withColumn("_base", F.array_sort(base)).withColumn("_more", judged)
-    mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")
-    random_ = lambda m: mixed(m["value"]) & (_score(m["value"], model) * 100 > MARGIN * SCALE * (F.length(m["value"]) - 1))
-    alone = lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    if whole:
-        least = lambda v: F.when(v.rlike("[0-9]"), F.lit(MARGIN)).otherwise(F.lit(LETTERS_MARGIN))
-        more = F.filter("_more", lambda m: m["value"].rlike("[A-Za-z]") & (_score(m["value"], model) * 100 > least(m["value"]) * SCALE * (F.length(m["value"]) - 1)))
-    else:
-        more = F.filter("_more", lambda m: alone(m) & random_(m))
-    return df.withColumn("found", F.when(F.size("_more") > 0, F.array_sort(F.concat("_base", more))).otherwise(F.col("_base"))).drop("_base", "_more")
+    base = F.concat(_matches(t, ASSIGN, "assign", 2, 12), _matches(t, r"AKIA[A-Z0-9]{14,}", "access", 0, 18), _matches(t, hexes, "hex", 0, 16))
+    judged = F.filter(_matches(t, TOKEN, "markov", 0, SHORTEST), lambda m: _looks_random(m["value"], model))
+    df = df.withColumn("_base", base).withColumn("_more", judged)
+    all_ = F.when(F.size("_more") > 0, _let(F.array_sort(F.concat("_base", "_more")), _outside)).otherwise(F.array_sort("_base"))
+    cols = [c for n, c in zip(docs.columns, unpacked(docs, text)) if n != "found"]
+    return df.withColumn("_found", all_).select(*cols, F.col("_found").alias("found"))
 
 
 def _names(spans: Column) -> Column:
@@ -163,19 +187,20 @@ def _names(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, samples: DataFrame | None = None, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The same rows and columns with every span of a whole ``scan`` cut out and replaced; overlapping spans become one."""
-    df = scan(packed(docs, text), samples, "_text", whole=True)
-    t = F.col("_text")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(s, m):
-        fresh = m["start"] >= s["at"]
-        out = F.when(fresh, F.concat(s["out"], F.substring(t, s["at"] + 1, m["start"] - s["at"]), F.lit(mark))).otherwise(s["out"])
-        return F.struct(out.alias("out"), F.greatest(s["at"], m["end"]).alias("at"))
+    """The same rows and columns with every secret replaced by ``mark``.
 
-    done = F.aggregate("found", start, step)
-    clean = F.when(F.size("found") > 0, F.concat(done["out"], F.substring(t, done["at"] + 1, F.length(t)))).otherwise(t)
-    return df.withColumn("_clean", clean).select(*unpacked(docs, text, "_clean"))
+    Whatever ``scan`` finds goes: assignments first, then whole tokens that look random, then access keys and
+    hexadecimal runs in what is left. The text is put together again from the pieces around the tokens, in one pass.
+    Null and empty texts stay as they are; ties, repeated rows and other columns need no care.
+    """
+    model = F.lit(weights(sample_table(docs.sparkSession) if samples is None else samples))
+    plain = mark.replace("\\", r"\\").replace("$", r"\$")
+    t = F.regexp_replace(F.col("_text"), LONG_ASSIGN, plain)
+    fresh = lambda w: F.when(_looks_random(w, model), F.lit(mark)).otherwise(w)
+    joined = lambda s: F.array_join(F.zip_with(F.split(s, TOKEN, -1), F.transform(F.regexp_extract_all(s, F.lit(TOKEN), F.lit(0)), fresh), lambda gap, w: F.concat(gap, F.coalesce(w, F.lit("")))), "")
+    tokens = _let(t, lambda s: F.when(s.rlike(TOKEN), joined(s)).otherwise(s))
+    clean = F.regexp_replace(tokens, r"AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}", plain)
+    return packed(docs, text).withColumn("_clean", clean).select(*unpacked(docs, text, "_clean"))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,9 +229,10 @@ e AS (SELECT doc_id, k, least, unnest(w) AS w, unnest(g) AS g, unnest(gaps[1:len
 p AS (SELECT *, sum(length(gap) + length(w)) OVER (PARTITION BY doc_id, k ORDER BY i) AS fin FROM e),
 s AS (SELECT doc_id, k, CAST(fin - length(w) AS BIGINT) AS a, CAST(fin AS BIGINT) AS b, w FROM p WHERE length(g) >= least),
 l AS (SELECT {_ratios(counts)} AS l),
-r AS (SELECT s.* FROM s, l WHERE k = 3 AND regexp_matches(w, '[0-9]') AND regexp_matches(w, '[A-Za-z]')
-  AND list_sum(list_transform(range(1, length(w)), lambda i: l[strpos('{ALPHABET}', w[i]) * {WIDTH} + strpos('{ALPHABET}', w[i + 1]) + 1])) * 100 > {MARGIN * SCALE} * (length(w) - 1)
-  AND NOT EXISTS (SELECT 1 FROM s x WHERE x.doc_id = s.doc_id AND x.k < 3 AND x.a < s.b AND s.a < x.b)),
+r AS (SELECT s.* FROM s, l WHERE k = 3 AND regexp_matches(w, '[A-Za-z]')
+  AND list_sum(list_transform(range(1, length(w)), lambda i: l[strpos('{ALPHABET}', w[i]) * {WIDTH} + strpos('{ALPHABET}', w[i + 1]) + 1])) * 100
+    > CASE WHEN regexp_matches(w, '[0-9]') THEN {MARGIN} ELSE {LETTERS_MARGIN} END * {SCALE} * (length(w) - 1)
+  AND NOT EXISTS (SELECT 1 FROM s x WHERE x.doc_id = s.doc_id AND x.k < 3 AND x.a <= s.a AND s.b <= x.b)),
 u AS (SELECT doc_id, k, a, b, ['assign', 'access', 'hex', 'markov'][k + 1] || ':' || a || ':' || b AS name FROM (SELECT * FROM s WHERE k < 3 UNION ALL SELECT * FROM r))
 SELECT d.doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
   sha256(coalesce(string_agg(name, ',' ORDER BY a, k) FILTER (WHERE k < 3), '')) AS base_sha256, coalesce(string_agg(name, ',' ORDER BY a, k), '') AS spans

@@ -1,6 +1,7 @@
 """Secrets, shards, languages, top-k and the pipeline."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -156,6 +157,57 @@ def test_pipeline(spark, docs, no_docs, corpus):
     _ = hashlib
 
 
+def other_source(n=200):
+    """Labelled tokens that the built-in samples don't know: names from installed libraries, and encoded digests."""
+    import base64
+    import email.mime.multipart
+    import http.client
+    import unittest.mock
+
+    names = {a for m in (os, np, unittest.mock, http.client, email.mime.multipart, hashlib, random) for a in dir(m)}
+    words = sorted(n for n in names if len(n) > 4)
+    r = random.Random(8)
+    plain = ["_".join(r.sample(words, 3)) for _ in range(n)] + ["".join(w.title() for w in r.sample(words, 3)) for _ in range(n)]
+    digest = lambda i: hashlib.sha256(str(i).encode()).digest()
+    secret = [base64.b64encode(digest(i))[:32].decode() for i in range(n)] + [base64.b32encode(digest(i))[:32].decode() for i in range(n)]
+    secret += ["".join("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"[b % 52] for b in digest(i)) for i in range(n)]  # letters alone
+    return [(v, False) for v in plain if len(v) >= 20] + [(v, True) for v in secret]
+
+
+def rates(spark, rows, samples=None):
+    df = spark.createDataFrame([(i, f"see {v} here", y) for i, (v, y) in enumerate(rows)], "doc_id long, text string, y boolean")
+    out = secrets.scan(df, samples).collect()
+    hit = lambda y: np.mean([bool(r.found) for r in out if r.y == y])
+    return hit(True), hit(False)
+
+
+def test_models_on_another_source_and_on_samples_handed_in(spark):
+    rows = other_source()
+    recall, false = rates(spark, rows)
+    assert recall > 0.9 and false < 0.05, (recall, false)
+    more = other_source(3000)
+    r = random.Random(1)
+    r.shuffle(more)
+    own = spark.createDataFrame(more[1000:], "value string, is_secret boolean")
+    recall, false = rates(spark, more[:1000], own)
+    assert recall > 0.9 and false < 0.05, (recall, false)
+
+
+def test_scan_keeps_columns_and_takes_long_texts(spark):
+    import time
+
+    r = random.Random(5)
+    hexes = ["".join(r.choice("0123456789abcdef") for _ in range(28)) for _ in range(60_000)]
+    text = " é ".join(hexes)
+    df = spark.createDataFrame([(1, text, "b", 7), (1, text, "b", 7), (2, None, None, None)], "doc_id long, text string, _base string, _more int")
+    began = time.time()
+    out = secrets.scan(df).collect()
+    assert [len(x.found) for x in out] == [60_000, 60_000, 0] and (out[0]["_base"], out[0]["_more"]) == ("b", 7)
+    assert all(text[s.start : s.end] == h for s, h in zip(out[0].found, hexes))
+    assert secrets.redact(df).first().text == " é ".join(["[SECRET]"] * 60_000)
+    assert time.time() - began < 60
+
+
 def test_redaction_of_letters_alone_and_of_rests(spark):
     letters, rest = "qXvZkWpJrTbHzQnGxLcVfKdM", "Zq7RwX0Kp" + "0123456789abcdef" + "Tz9QvLk4XwJ"
     rows = [(1, f"a {letters} b"), (2, f"a {rest} b"), (3, "einlichheitenpfpfver getUserNameFromSessionTable")]
