@@ -2,7 +2,7 @@
 
 Texts become normalized vectors of hashed byte bigrams and trigrams of the lower-cased text. A linear SVM for each pair of
 families votes on the family, and one for each pair of its languages on the language. The classifiers are fitted on a
-bounded sample of labelled rows, ``SAMPLE`` for each language; every other step sees all rows and whole texts.
+bounded sample of labelled rows, ``SAMPLE`` for each language and ``TOTAL`` in all; every other step sees all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -13,13 +13,14 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import per_row, table
 
-#: Labelled rows of each language that the classifiers are fitted on, at most.
-SAMPLE = 600
+#: Labelled rows of each language that the classifiers are fitted on, at most, and of all languages together: the more
+#: languages there are, the fewer rows of each. The vectors of all reach the driver, 16 KB each.
+SAMPLE, TOTAL = 600, 6000
 #: Hashed features, a power of two; passes of the solver; its regularization.
 FEATURES, PASSES, COST = 1 << 12, 20, 10.0
 #: A text is taken in pieces of this many bytes, so that memory doesn't follow its length.
@@ -37,7 +38,6 @@ FAMILIES = {
     "austronesian": "id ms tl jv",
 }
 _FAMILY = {code: f for f, codes in FAMILIES.items() for code in codes.split()}
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def family(lang: str) -> str:
@@ -46,6 +46,10 @@ def family(lang: str) -> str:
     return _FAMILY.get(base, "=" + lang)
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def features(text: str) -> np.ndarray:
     """The unit vector of square roots of hashed bigram and trigram counts; zero for a text of fewer than two bytes."""
     out = np.zeros(FEATURES)
@@ -119,7 +123,7 @@ class Model:
         return best, 1 / (1 + math.exp(-max(-30.0, min(30.0, 3 * votes[best][2]))))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.families or not _LETTER.search(text):
+        if not text or not self.families or not has_letter(text):
             return "und", 0.0
         margin = features(text) @ self.w[:-1] + self.w[-1]
         f, p = self._vote(self.families, margin)
@@ -127,33 +131,33 @@ class Model:
         return lang, p * q
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` rows of each language, drawn by a hash of their ids; null texts and labels are left out.
+def train(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, total: int = TOTAL) -> Model:
+    """Fit on at most ``sample`` rows of each language and ``total`` of all, drawn by a hash of id and text.
 
-    The rows drawn travel as feature vectors; no text reaches the driver.
+    Null and empty texts and null labels are left out; rows without an id are drawn like others. Equal rows are drawn
+    together, up to the limit. The limits hold before anything reaches the driver, and no text does.
     """
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0))
-    counts = {r[lang]: r["n"] for r in labelled.where(F.col(lang).isNotNull()).groupBy(lang).agg(F.count("*").alias("n")).collect()}
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(total + 1).collect()}
     if not counts:
         return Model.fit(np.zeros((0, FEATURES), np.float32), [])
-    draw = F.pmod(F.xxhash64(id_col), F.lit(1 << 30))
+    if len(counts) > total:
+        raise ValueError(f"more than {total} languages")
+    each = min(sample, total // len(counts))
+    draw = F.xxhash64("id", "text")
     share = F.lit(0)
-    for k, n in counts.items():
-        share = F.when(F.col(lang) == k, F.lit(int((1 << 30) * min(1.0, 0.9 * sample / n)))).otherwise(share)
+    for k, n in counts.items():  # some more than are wanted, then the least hashes
+        share = F.when(F.col("lang") == k, F.lit(int((1 << 30) * min(1.0, 1.2 * each / n + 20 / n)))).otherwise(share)
+    some = rows.withColumn("draw", draw).where(F.pmod("draw", F.lit(1 << 30)) <= share)
+    some = some.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("i") <= each).select("lang", "text")
 
     def make():
         return lambda ts: ([features(t).tobytes() for t in ts],)
 
-    drawn = per_row(rows.where(draw <= share).select(lang, text), [lang], text, "x binary", make).toArrow().to_pydict()
-    order = sorted(range(len(drawn[lang])), key=lambda i: (drawn[lang][i], drawn["x"][i]))  # the same whatever task ends first
-    seen: dict[str, int] = {}
-    keep = []
-    for i in order:
-        seen[drawn[lang][i]] = seen.get(drawn[lang][i], 0) + 1
-        if seen[drawn[lang][i]] <= sample:
-            keep.append(i)
-    x = np.stack([np.frombuffer(drawn["x"][i], np.float32) for i in keep]) if keep else np.zeros((0, FEATURES), np.float32)
-    return Model.fit(x, [drawn[lang][i] for i in keep])
+    drawn = per_row(some, ["lang"], "text", "x binary", make).toArrow().to_pydict()
+    order = sorted(range(len(drawn["lang"])), key=lambda i: (drawn["lang"][i], drawn["x"][i]))  # the same whatever task ends first
+    x = np.stack([np.frombuffer(drawn["x"][i], np.float32) for i in order]) if order else np.zeros((0, FEATURES), np.float32)
+    return Model.fit(x, [drawn["lang"][i] for i in order])
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text", with_text: bool = False) -> DataFrame:

@@ -6,16 +6,18 @@ distinct, which lowers the variance against independent hashes, and once every p
 ranks above k can't matter: long documents stop after two or three ranks. Permutations are affine maps modulo a prime,
 so ranks at two positions are distributed as under a uniform permutation, and with them the estimate's variance.
 
-Documents of equal shingle sets form a class and travel as its smallest id. Bands of four components name buckets; a
+Documents of equal shingle sets form a class and travel as its smallest id. Bands of five components name buckets; a
 bucket is joined to its smallest member first, and only members that verified links have not already brought together
-are compared with each other. Every link is confirmed on full shingle sets.
+are compared with each other, and of these only such as are near in size. Every link is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.bpe import Bounded
@@ -23,13 +25,11 @@ from gleaner.llm.common import only, per_row, table, without
 from gleaner.operators.cluster import connected_components
 from gleaner.scratch import drop, materialize
 
-#: Signature positions (prime), components used, and components in a band. A pair at similarity 0.8 shares no band
-#: with probability (1 - 0.8^4)^32, about 5e-8.
-M, USED, ROWS = 131, 128, 4
+#: Signature positions (prime), components used, components in a band, and bits of each. A pair at similarity 0.8
+#: shares no band with probability (1 - 0.8^5)^40, about 1e-7.
+M, USED, ROWS, BITS = 211, 200, 5, 12
 #: A pair is verified where this many of the components agree: six standard deviations below the mean at 0.8.
-AGREE = 75
-_INVERSE = np.array([0] + [pow(a, -1, M) for a in range(1, M)], np.int64)
-_POS = np.arange(M, dtype=np.int64)
+AGREE = 126
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,19 +78,18 @@ def signature(x: np.ndarray) -> np.ndarray:
 
 
 def bands(x: np.ndarray) -> np.ndarray:
-    """The signature's components, 16 bits each, four to a 64-bit band."""
-    c = mix(signature(x)[:USED]) & np.uint64(0xFFFF)
-    c = c.reshape(-1, ROWS)
-    return (c[:, 0] | c[:, 1] << np.uint64(16) | c[:, 2] << np.uint64(32) | c[:, 3] << np.uint64(48)).view(np.int64)
+    """The signature's components, BITS bits each, ROWS of them to a 64-bit band."""
+    c = mix(signature(x)[:USED]) & np.uint64((1 << BITS) - 1)
+    return (c.reshape(-1, ROWS) << (np.arange(ROWS, dtype=np.uint64) * np.uint64(BITS))).sum(1, dtype=np.uint64).view(np.int64)
 
 
 def _agreeing(a: str, b: str) -> F.Column:
-    """How many 16-bit components two band arrays share."""
-    def lane(x, shift):
-        return (F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(0xFFFF)) == 0).cast("int")
+    """How many components two band arrays share."""
+    def lanes(x):
+        return sum((F.shiftright(x, i * BITS).bitwiseAND(F.lit((1 << BITS) - 1)) == 0).cast("int") for i in range(ROWS))
 
     xor = F.zip_with(a, b, lambda p, q: p.bitwiseXOR(q))
-    return F.aggregate(xor, F.lit(0), lambda s, x: s + lane(x, 0) + lane(x, 16) + lane(x, 32) + lane(x, 48))
+    return F.aggregate(xor, F.lit(0), lambda s, x: s + lanes(x))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
@@ -165,8 +164,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     placed = materialize(placed, "placed")
     split = placed.groupBy("bucket").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi and c > 2").select("bucket")
     open_ = placed.join(split, "bucket", "left_semi").join(reps.select("doc_id", "n"), "doc_id")
-    x, y = open_.alias("x"), open_.alias("y")
-    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
+    # sizes within the similarity fall into the same cell or neighbouring ones, so a crowded bucket is split by size
+    width = F.lit(math.log(100 / percent) + 1e-9 if percent < 100 else 1e-9)
+    cell = F.floor(F.log("n") / width)
+    x = open_.withColumn("cell", cell).alias("x")
+    y = open_.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1))).alias("y")
+    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
     cross = cross.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = _verified(cross, docs, reps, size, percent)
     parts = connected_components(links.union(more), "a", "b")
@@ -177,14 +180,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without all but the least id of every near-duplicate group; one row of an id that repeats."""
+    """The rows of ``docs`` without all but the least id of every near-duplicate group.
+
+    Where an id repeats, each of its different texts stays once, in the row whose other columns come first as JSON;
+    rows without an id all stay. Other columns are kept whatever their names.
+    """
     found = materialize(near_duplicates(docs, size, percent, id_col, text).select("doc_id", "kept"), "kept")
     again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias(id_col))
     gone = materialize(found.where("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
     left = without(docs, gone, id_col)
     if again.limit(1).count():
-        once = left.join(again, id_col, "left_semi").dropDuplicates([id_col])
-        left = left.join(again, id_col, "left_anti").unionByName(once)
+        held = left.join(again, id_col, "left_semi").select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("t"))
+        first = Window.partitionBy("id", "h", "t").orderBy(F.to_json("row"))
+        once = held.withColumn("i", F.row_number().over(first)).where("i = 1").select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+        left = left.join(again, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).unionAll(once)
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

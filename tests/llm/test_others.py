@@ -103,6 +103,20 @@ def test_languages(spark, no_docs):
     assert all(x.h == (x.doc_id is not None and zlib.crc32(str(x.doc_id).encode()) % 4 == 2) for x in ids)
 
 
+def test_samples_are_bounded_whatever_the_ids(spark, monkeypatch):
+    rows = [(None if i % 2 else 7, f"{'the of and' if i % 3 else 'der die das'} w{i}", "en" if i % 3 else "de") for i in range(600)]
+    seen = []
+    monkeypatch.setattr(langid.Model, "fit", staticmethod(lambda x, lang: seen.append(sorted(lang))))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    langid.train(df, sample=50)
+    langid.train(df, sample=50, total=20)
+    assert seen == [["de"] * 50 + ["en"] * 50, ["de"] * 10 + ["en"] * 10]
+
+
+def test_letters_are_letters():
+    assert not any(map(langid.has_letter, ("", "½ ² 12", "①②", "_ !?", "٣"))) and all(map(langid.has_letter, ("ß", "1a", "語")))
+
+
 def test_language_features_do_not_depend_on_pieces(monkeypatch):
     text = "Words and more words, été über " * 50
     want = langid.features(text)
