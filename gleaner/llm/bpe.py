@@ -68,12 +68,29 @@ class Prefixes:
                 if p < 0 or pairs[p << 20 | t]:
                     last[end] = t
 
-    def edit(self, start: int, end: int, new: str) -> None:
-        """Replace text[start:end]; entries up to ``start`` stand."""
-        text = self.text[:start] + new + self.text[end:]
+    def edit(self, start: int, end: int, new: str) -> int:
+        """Replace text[start:end]; returns how many entries were made anew.
+
+        Entries up to ``start`` stand. Behind the new text entries are made anew only until as many as the longest
+        token has symbols agree with the old ones in a row: from there on the old ones stand too, as every entry
+        follows from the symbols and entries of that stretch alone.
+        """
+        old, tail, text = self.last[end:], self.text[end:], self.text
         del self.last[start + 1 :]
         self.text = text[:start]
-        self.append(text[start:])
+        self.append(new)
+        made, agree, done, longest = len(new), 0, 0, self.m.longest
+        while done < len(tail) and agree < longest:
+            step = tail[done : done + 2 * longest]
+            self.append(step)
+            fresh = self.last[-len(step) :]
+            for i, t in enumerate(fresh):
+                agree = agree + 1 if t == old[done + i + 1] else 0
+            done += len(step)
+            made += len(step)
+        self.text += tail[done:]
+        self.last += old[done + 1 :]
+        return made
 
     def ids(self) -> list[int]:
         """Numbers of the tokens in ``Merger.names``, -1 for an unlisted symbol."""

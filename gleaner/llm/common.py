@@ -7,12 +7,11 @@ import gc
 import os
 from collections.abc import Callable, Iterator
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Where the vocabulary files of public tokenizers lie, unless a caller names another folder.
-TOKENIZERS = "/opt/tokenizers"
 #: Rows handed to Python at a time are cut so that their texts stay near this many bytes.
 SLICE_BYTES = 4 << 20
 
@@ -45,8 +44,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary(name: str, folder: str = TOKENIZERS) -> str:
-    return os.path.join(folder, name)
+def vocabulary(name: str, folder: str | None = None) -> str:
+    """A vocabulary file of a public tokenizer: in ``folder``, or where their package has it."""
+    return os.path.join(folder, name) if folder else public_tokenizers.path(name)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:

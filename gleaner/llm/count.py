@@ -1,28 +1,39 @@
 """Token counts by a compiled finite-state transducer.
 
-Reading one more symbol changes the number of tokens of the text so far by a fixed amount that depends on the state
-alone. The transducer's states are the prefixes of words, added when first met; each transition carries the change in
-emitted tokens. A word boundary leads back to the start, because no listed piece crosses one. A chunk of text is
-summed up by its map (head, count, tail): the symbols before its first boundary, the tokens of its whole words, the
-symbols after its last boundary. Maps compose associatively, so a text of any length is the scan of its chunks' maps.
+A state is the longest end of the text that begins some listed piece, together with the last token at each place in it
+where a piece may still begin and the tokens counted since. That is all that any further symbol can depend on: each
+symbol leads to one next state and changes the count by a fixed amount, which annotates the transition. No listed piece
+crosses a word boundary, so a boundary leads to one state wherever it comes from. States and transitions are compiled
+from the vocabulary when first met, up to STATES; then the table is begun anew.
+
+A chunk of text is a map from state to state and count: up to its first boundary it follows the state that comes in;
+after that, result and count are fixed. Maps compose associatively, so chunks are mapped in any order, by any task, and
+a text is the scan of its chunks' maps: pairs of neighbours, then pairs of pairs.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.bpe import Bounded, Merger, Prefixes
-from gleaner.llm.common import hold, per_row, table, vocabulary
+from gleaner.llm.bpe import Bounded, Merger
+from gleaner.llm.common import hold, let_go, per_row, table, vocabulary
 
 SPACE = "▁"
-#: Code points in one chunk, and the states that the compiled transducer may hold.
-CHUNK, STATES = 1 << 16, 300_000
-#: Words longer than this, and new words once all states are taken, are summed up from their prefix table alone.
+#: Code points in one chunk, in what one task maps of a longer text, and transitions that the compiled table may hold.
+CHUNK, LONG, STATES = 1 << 16, 1 << 20, 200_000
+#: Words up to this length are remembered with their count; longer ones follow the transitions each time.
 WORD = 48
 
+#: (end of the text, its places' (last token, tokens since) or null)
+State = tuple[str, tuple]
+START: State = ("", ((-1, 0),))
+
 
 def read_pieces(path: str) -> dict[str, int]:
     """Ranks of the ordinary pieces (lower joins first), from a sentencepiece model file."""
@@ -36,83 +47,111 @@ def read_pieces(path: str) -> dict[str, int]:
 
 
 class Transducer:
-    """Deterministic, compiled as words are met."""
+    """Deterministic, compiled as it is used."""
 
     def __init__(self, ranks: dict[str, int]):
-        if any(SPACE in p.lstrip(SPACE) for p in ranks):
-            raise ValueError("a piece crosses a word boundary; this vocabulary can't be cut into words")
-        self.merger = Merger(ranks)
-        #: (state << 21 | code point) to (next state, emitted tokens)
+        if any(SPACE in p.lstrip(SPACE) for p in ranks) or SPACE not in ranks:
+            raise ValueError("this vocabulary's pieces cross word boundaries; its texts can't be cut into words")
+        m = Merger(ranks)
+        self.pairs = m.pairs
+        self.number = {t: i for i, t in enumerate(m.names)}
+        self.begins = {t[:n] for t in m.names for n in range(len(t) + 1)}
+        m.find = None  # the automaton isn't needed here
+        self.clear()
+        self.word = Bounded(lambda w: self.walk(0, w)[1])
+
+    def clear(self) -> None:
+        #: (state << 21 | code point) to (next state, emitted tokens); states by number and numbers by state
         self.step: dict[int, tuple[int, int]] = {}
-        #: words whose transitions have been composed into one
-        self.word = Bounded(self._word)
-
-    def _word(self, word: str) -> int:
-        """Tokens emitted between two boundaries, by walking the transitions; missing ones are compiled."""
-        step, state, total = self.step, 0, 0
-        if len(word) <= WORD:
-            for i, c in enumerate(word):
-                to = step.get(state << 21 | ord(c))
-                if to is None:
-                    break
-                state, n = to
-                total += n
-            else:
-                return total
-        last, sizes, totals = Prefixes(self.merger, word).last, self.merger.sizes, [0]
-        for end in range(1, len(last)):
-            t = last[end]
-            totals.append(totals[end - sizes[t]] + 1 if t >= 0 else totals[end - 1] + len(word[end - 1].encode("utf-8", "surrogatepass")))
-        if len(word) <= WORD and len(step) < STATES:
-            for j in range(i, len(word)):
-                step[state << 21 | ord(word[j])] = (len(step) + 1, totals[j + 1] - totals[j])
-                state = len(step)
-        return totals[-1]
-
-    def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
-        """(head, count, tail); count is None where the chunk holds no boundary and is all head."""
+        self.states, self.numbers = [START], {START: 0}
+
+    def number_of(self, state: State) -> int:
+        n = self.numbers.setdefault(state, len(self.states))
+        if n == len(self.states):
+            self.states.append(state)
+        return n
+
+    def compile(self, state: int, c: str) -> tuple[int, int]:
+        """The transition of a state and a symbol."""
+        end, places = self.states[state]
+        if c == SPACE and state and not end.endswith(SPACE):
+            end, places = START
+        whole, last, emitted = end + c, -1, len(c.encode("utf-8", "surrogatepass"))
+        for i, place in enumerate(places):  # pieces that end here, the longest first
+            t = self.number.get(whole[i:]) if place else None
+            if t is not None and (place[0] < 0 or self.pairs[place[0] << 20 | t]):
+                last, emitted = t, 1 - place[1]
+                break
+        cut = next(i for i in range(len(whole) + 1) if whole[i:] in self.begins)
+        kept = [(p[0], p[1] + emitted) if p and whole[i:] in self.begins else None for i, p in enumerate(places)][cut:]
+        if len(self.step) >= STATES:
+            self.clear()
+            return self.number_of((whole[cut:], (*kept, (last, 0)))), emitted
+        to = self.step[state << 21 | ord(c)] = self.number_of((whole[cut:], (*kept, (last, 0)))), emitted
+        return to
+
+    def walk(self, state: int, text: str) -> tuple[int, int]:
+        """Where a text leads from a state, and the tokens emitted on the way."""
+        total = 0
+        for c in text:
+            to = self.step.get(state << 21 | ord(c))
+            if to is None:
+                to = self.compile(state, c)
+            state, n = to
+            total += n
+        return state, total
+
+    def chunk_map(self, chunk: str) -> tuple[tuple[str, ...], State | None, int]:
+        """(head, state, count): the head follows the state that comes in, the rest leads to ``state`` with ``count`` tokens.
+
+        A chunk without a boundary is all head, and has no state of its own.
+        """
         cut = re.search(f"(?<=[^{SPACE}]){SPACE}", chunk)
         if not cut:
-            return chunk, None, ""
+            return (chunk,), None, 0
         head, rest = chunk[: cut.start()], chunk[cut.start() :]
-        if SPACE + SPACE in rest:
-            words = re.findall(f"{SPACE}+[^{SPACE}]*", rest)
-        else:
-            words = [SPACE + w for w in rest[1:].split(SPACE)]
+        words = re.findall(f"{SPACE}+[^{SPACE}]*", rest) if SPACE + SPACE in rest else [SPACE + w for w in rest[1:].split(SPACE)]
         word = self.word
-        return head, sum([word[w] if len(w) <= WORD else self._word(w) for w in words[:-1]]), words[-1]
+        count = sum([word[w] if len(w) <= WORD else self.walk(0, w)[1] for w in words[:-1]])
+        state, n = self.walk(0, words[-1])
+        return (head,), self.states[state], count + n
+
+    def run(self, state: State, head: tuple[str, ...]) -> tuple[State, int]:
+        at, total = self.number_of(state), 0
+        for part in head:
+            at, n = self.walk(at, part)
+            total += n
+        return self.states[at], total
 
     def compose(self, a: tuple, b: tuple) -> tuple:
-        """The map of two neighbouring chunks. A boundary may lie between them: a tail or head that ends in a symbol
-        meeting a space, or a run of spaces that both sides share."""
-        middle = (a[0] if a[1] is None else a[2]) + b[0]
-        h, n, t = self.chunk_map(middle)
-        if a[1] is None and b[1] is None:
-            return h, n, t
-        if a[1] is None:  # middle ends where b's first word begins
-            if n is None:
-                return h, b[1], b[2]
-            return h, n + self.word[t] + b[1], b[2]
-        if b[1] is None:
-            return (a[0], a[1], middle) if n is None else (a[0], a[1] + self.word[h] + n, t)
-        return a[0], a[1] + (self.word[middle] if n is None else self.word[h] + n + self.word[t]) + b[1], b[2]
+        """The map of two neighbours, the first one first."""
+        if a[1] is None:
+            return a[0] + b[0], b[1], b[2]
+        state, n = self.run(a[1], b[0])
+        return (a[0], state, a[2] + n) if b[1] is None else (a[0], b[1], a[2] + n + b[2])
+
+    def scan(self, maps: list[tuple]) -> int:
+        """Tokens of a whole text from its chunks' maps in order."""
+        while len(maps) > 1:
+            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        head, _, count = maps[0]
+        return self.run(START, head)[1] + count
+
+    def maps(self, text: str, first: bool = True) -> list[tuple]:
+        """The maps of a text's chunks; ``first``: nothing comes before it."""
+        s = SPACE * first + text.replace(" ", SPACE)
+        return [self.chunk_map(s[at : at + CHUNK]) for at in range(0, len(s), CHUNK)]
 
     def count(self, text: str | None) -> int:
-        if not text:
-            return 0
-        s = SPACE + text.replace(" ", SPACE)
-        total = None
-        for at in range(0, len(s), CHUNK):
-            m = self.chunk_map(s[at : at + CHUNK])
-            total = m if total is None else self.compose(total, m)
-        head, n, tail = total
-        return self.word[head] + (0 if n is None else n + self.word[tail])
+        return self.scan(self.maps(text)) if text else 0
 
 
 def count_tokens(docs: DataFrame, path: str, keep: list[str], text: str = "text", limit: int = 4096) -> DataFrame:
     """Bytes, tokens and whether the tokens pass ``limit``. Null and empty texts have none of either.
 
-    Rows are independent; repeated rows, ties, extra columns and empty tables need no care.
+    Texts beyond LONG code points are cut, and their pieces mapped by as many tasks; the maps of one text then meet.
+    Rows are independent: repeated rows and ties need no care, columns other than those named aren't looked at, and
+    an empty table gives an empty result.
     """
     key = ("transducer", path)
 
@@ -120,8 +159,60 @@ def count_tokens(docs: DataFrame, path: str, keep: list[str], text: str = "text"
         t = hold(key, lambda: Transducer(read_pieces(path)))
         return lambda texts: ([t.count(x) for x in texts],)
 
-    sized = docs.select(*keep, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("_text"))
-    return per_row(sized, [*keep, "n_bytes"], "_text", "n_tokens long", make, held=key).withColumn("over_limit", F.col("n_tokens") > limit)
+    kept = [f"k{i}" for i in range(len(keep))]
+    sized = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept)], F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long").alias("n_bytes"), F.col(f"`{text}`").alias("t"))
+    brief = F.coalesce(F.length("t") <= LONG, F.lit(True))
+    short = per_row(sized.where(brief), [*kept, "n_bytes"], "t", "n_tokens long", make, held=key)
+    out = short.unionByName(_long_counts(sized.where(~brief), key, path, kept))
+    return out.select(*[F.col(k).alias(c) for c, k in zip(keep, kept)], "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
+def _long_counts(docs: DataFrame, key: tuple, path: str, kept: list[str]) -> DataFrame:
+    """The same of long texts, each piece mapped by itself."""
+
+    def make():
+        t = hold(key, lambda: Transducer(read_pieces(path)))
+
+        def work(pieces):
+            heads, states, counts = [], [], []
+            for p in pieces:
+                out = t.maps(p[1:], p[0] == "0")
+                while len(out) > 1:
+                    out = [t.compose(*out[i : i + 2]) if i + 1 < len(out) else out[i] for i in range(0, len(out), 2)]
+                head, state, count = out[0]
+                heads.append("".join(head))
+                states.append(None if state is None else json.dumps(state))
+                counts.append(count)
+            return heads, states, counts
+
+        return work
+
+    ids = docs.withColumn("id", F.monotonically_increasing_id())
+    cut = F.transform(F.sequence(F.lit(0), ((F.length("t") - 1) / LONG).cast("int")), lambda i: F.concat(F.when(i == 0, "0").otherwise("1"), F.substring(F.col("t"), i * LONG + 1, F.lit(LONG))))
+    own = F.struct(*kept, "n_bytes")
+    pieces = ids.select("id", own.alias("own"), F.posexplode(cut).alias("i", "piece")).withColumn("own", F.when(F.col("i") == 0, F.col("own"))).repartition("id", "i")
+    mapped = per_row(pieces, ["id", "i", "own"], "piece", "head string, state string, count long", make, held=key)
+    met = mapped.groupBy("id").agg(F.any_value("own", F.lit(True)).alias("own"), F.collect_list(F.struct("i", "head", "state", "count")).alias("maps"))
+    kind = dict(met.dtypes)["own"]
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(key)
+        t = hold(key, lambda: Transducer(read_pieces(path)))
+        for b in batches:
+            n = []
+            for maps in b.column("maps"):
+                rows = sorted(maps.as_py(), key=lambda m: m["i"])
+                n.append(t.scan([((m["head"],), _state(m["state"]), m["count"]) for m in rows]))
+            yield pa.RecordBatch.from_arrays([b.column("own"), pa.array(n, pa.int64())], names=["own", "n_tokens"])
+
+    return met.select("own", "maps").mapInArrow(together, f"own {kind}, n_tokens long").select("own.*", "n_tokens")
+
+
+def _state(text: str | None) -> State | None:
+    if text is None:
+        return None
+    end, places = json.loads(text)
+    return end, tuple(p if p is None else tuple(p) for p in places)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,12 +11,12 @@ import hashlib
 import re
 
 import regex
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm.bpe import Bounded, Merger, Prefixes
 from gleaner.llm.common import hold, per_row, table, vocabulary
 
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space other than space, tab, newline and return, or runs that end in a space: such texts aren't cut first.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]|[ \n\t\r] ")
 
@@ -55,7 +55,7 @@ class Codec:
             return self._chunk(text)
         head, *rest = text.split(" ")
         chunk = self.chunk
-        parts = [chunk[head]] if head else []
+        parts = [chunk[head] if len(head) < 256 else self._chunk(head)] if head else []
         parts += [chunk[" " + r] if len(r) < 256 else self._chunk(" " + r) for r in rest]
         return ",".join(parts)
 

@@ -41,6 +41,15 @@ def test_prefixes_append_and_edit_exactly():
     assert p.tokens() == bpe.Prefixes(m, text).tokens()
     p.edit(20, 25, "xyz")
     assert p.tokens() == bpe.Prefixes(m, text[:20] + "xyz" + text[25:]).tokens()
+    for _ in range(60):
+        a = r.randrange(len(p.text) + 1)
+        b, new = min(len(p.text), a + r.randrange(6)), "".join(r.choice("aehinrst ") for _ in range(r.randrange(6)))
+        text = p.text[:a] + new + p.text[b:]
+        p.edit(a, b, new)
+        fresh = bpe.Prefixes(m, text)
+        assert p.text == text and p.last == fresh.last
+    long = bpe.Prefixes(m, "the stone in the river sat here as rain is in the east " * 400)
+    assert long.edit(30, 32, "zz") < 4 * m.longest + 10  # and not the twenty thousand entries behind
 
 
 @pytest.mark.parametrize("chunk", [1, 3, 1 << 16])
@@ -50,9 +59,62 @@ def test_counts_equal_the_library(monkeypatch, chunk):
     t = count.Transducer(count.read_pieces(PIECES))
     for x in texts(500, 3):
         assert t.count(x) == len(sp.encode(x))
-    monkeypatch.setattr(count, "STATES", 0)
+    monkeypatch.setattr(count, "STATES", 40)  # the table is begun anew again and again
+    t = count.Transducer(count.read_pieces(PIECES))
+    assert all(t.count(x) == len(sp.encode(x)) for x in texts(100, 4)) and len(t.step) <= 40
+
+
+def test_maps_compose_in_any_order():
     t = count.Transducer(count.read_pieces(PIECES))
-    assert all(t.count(x) == len(sp.encode(x)) for x in texts(100, 4)) and not t.step
+    r = random.Random(9)
+    for x in filter(None, texts(60, 8)):
+        s = count.SPACE + x.replace(" ", count.SPACE)
+        cuts = sorted({0, len(s), *[r.randrange(len(s) + 1) for _ in range(4)]})
+        parts = [t.chunk_map(s[a:b]) for a, b in zip(cuts, cuts[1:])]
+        while len(parts) > 1:  # neighbours in random order
+            i = r.randrange(len(parts) - 1)
+            parts[i : i + 2] = [t.compose(parts[i], parts[i + 1])]
+        assert t.scan(parts) == t.count(x)
+
+
+def test_every_word_goes_through_transitions():
+    t = count.Transducer(count.read_pieces(PIECES))
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    word = "Donaudampfschifffahrt" * 5
+    assert t.count(word) == len(sp.encode(word)) and len(t.step) > 20 and not t.word
+    before = dict(t.step)
+    assert t.count(word) == len(sp.encode(word)) and t.step == before  # compiled once
+
+
+def test_texts_without_spaces_take_linear_time_and_bounded_memory():
+    import time
+
+    t = count.Transducer(count.read_pieces(PIECES))
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    r = random.Random(3)
+    unit = "".join(r.choice("日本語のテスト文章である。abcdefé") for _ in range(5000))
+    assert t.count(unit * 3) == len(sp.encode(unit * 3))
+    began = time.time()
+    t.count(unit * 200)
+    small = time.time() - began
+    began = time.time()
+    t.count(unit * 2000)  # ten million code points
+    assert time.time() - began < 15 * small + 5
+    assert not any(len(w) > count.WORD for w in t.word)
+    c = encode.Codec(BYTES)
+    c.encode(unit)
+    assert not any(len(k) > 256 for k in c.chunk) and not any(len(k) >= 64 for k in c.piece)
+
+
+def test_long_texts_are_counted_in_pieces(monkeypatch, spark):
+    monkeypatch.setattr(count, "LONG", 7)
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rows = list(enumerate(texts(120, 6))) + [(900, None), (901, ""), (902, "日本語" * 20), (903, "a " * 40)]
+    rows += rows[:5]  # repeated rows
+    df = spark.createDataFrame([(i, t, i) for i, t in rows], "doc_id long, text string, t long").repartition(3)
+    got = sorted((r.doc_id, r.t, r.n_bytes, r.n_tokens, r.over_limit) for r in count.count_tokens(df, PIECES, ["doc_id", "t"], limit=9).collect())
+    want = [(i, len((t or "").encode()), len(sp.encode(t or ""))) for i, t in rows]
+    assert got == sorted((i, i, b, n, n > 9) for i, b, n in want)
 
 
 def test_word_ids_equal_the_library():
