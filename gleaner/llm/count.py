@@ -4,7 +4,8 @@ A state is the longest end of the text that begins some listed piece, together w
 where a piece may still begin and the tokens counted since. That is all that any further symbol can depend on: each
 symbol leads to one next state and changes the count by a fixed amount, which annotates the transition. No listed piece
 crosses a word boundary, so a boundary leads to one state wherever it comes from. States and transitions are compiled
-from the vocabulary when first met, up to STATES; then the table is begun anew.
+from the vocabulary when first met. Once the table holds STATES transitions further ones are worked out and not kept,
+until the text leads back to a state of the table.
 
 A chunk of text is a map from state to state and count: up to its first boundary it follows the state that comes in;
 after that, result and count are fixed. Maps compose associatively, so chunks are mapped in any order, by any task, and
@@ -26,9 +27,11 @@ from gleaner.llm.common import hold, let_go, per_row, table, vocabulary
 
 SPACE = "▁"
 #: Code points in one chunk, in what one task maps of a longer text, and transitions that the compiled table may hold.
-CHUNK, LONG, STATES = 1 << 16, 1 << 20, 200_000
-#: Words up to this length are remembered with their count; longer ones follow the transitions each time.
-WORD = 48
+CHUNK, LONG, STATES = 1 << 16, 1 << 20, 300_000
+#: Words up to this length are remembered with their count, so many in a generation; longer ones follow the transitions.
+WORD, WORDS = 48, 200_000
+
+MARKS, COUNT = ".,;:!?%$#*&()\"'", (1 << 24) - 1
 
 #: (end of the text, its places' (last token, tokens since) or null)
 State = tuple[str, tuple]
@@ -57,24 +60,31 @@ class Transducer:
         self.number = {t: i for i, t in enumerate(m.names)}
         self.begins = {t[:n] for t in m.names for n in range(len(t) + 1)}
         m.find = None  # the automaton isn't needed here
-        self.clear()
-        self.word = Bounded(lambda w: self.walk(0, w)[1])
-
-    def clear(self) -> None:
-        #: (state << 21 | code point) to (next state, emitted tokens); states by number and numbers by state
-        self.step: dict[int, tuple[int, int]] = {}
+        #: symbols of no piece lead back to the start
+        self.bare_lines = not any("\n" in p for p in ranks)
+        #: (state << 21 | code point) to (next state << 8 | emitted tokens + 128); states by number and numbers by state
+        self.step: dict[int, int] = {}
         self.states, self.numbers = [START], {START: 0}
-
-    def number_of(self, state: State) -> int:
-        n = self.numbers.setdefault(state, len(self.states))
-        if n == len(self.states):
+        #: words to (number of the state behind them + 1, or 0) << 24 | tokens: their transitions composed into one
+        self.word = Bounded(self._word, WORDS)
+
+    def number_of(self, state: State) -> int | State:
+        """The number of a state; the state itself where the table is full."""
+        n = self.numbers.get(state)
+        if n is None:
+            if len(self.step) >= STATES:
+                return state
+            n = self.numbers[state] = len(self.states)
             self.states.append(state)
         return n
 
-    def compile(self, state: int, c: str) -> tuple[int, int]:
-        """The transition of a state and a symbol."""
-        end, places = self.states[state]
-        if c == SPACE and state and not end.endswith(SPACE):
+    def state_of(self, at: int | State) -> State:
+        return self.states[at] if isinstance(at, int) else at
+
+    def compile(self, at: int | State, c: str) -> tuple[int | State, int]:
+        """Where a state and a symbol lead, and the tokens emitted."""
+        end, places = self.state_of(at)
+        if c == SPACE and end and not end.endswith(SPACE):
             end, places = START
         whole, last, emitted = end + c, -1, len(c.encode("utf-8", "surrogatepass"))
         for i, place in enumerate(places):  # pieces that end here, the longest first
@@ -82,24 +92,42 @@ class Transducer:
             if t is not None and (place[0] < 0 or self.pairs[place[0] << 20 | t]):
                 last, emitted = t, 1 - place[1]
                 break
-        cut = next(i for i in range(len(whole) + 1) if whole[i:] in self.begins)
-        kept = [(p[0], p[1] + emitted) if p and whole[i:] in self.begins else None for i, p in enumerate(places)][cut:]
-        if len(self.step) >= STATES:
-            self.clear()
-            return self.number_of((whole[cut:], (*kept, (last, 0)))), emitted
-        to = self.step[state << 21 | ord(c)] = self.number_of((whole[cut:], (*kept, (last, 0)))), emitted
-        return to
-
-    def walk(self, state: int, text: str) -> tuple[int, int]:
+        begins, cut = self.begins, 0
+        while whole[cut:] not in begins:
+            cut += 1
+        kept = [(p[0], p[1] + emitted) if p and whole[i:] in begins else None for i, p in enumerate(places[cut:], cut)]
+        to = self.number_of((whole[cut:], (*kept, (last, 0))))
+        if isinstance(at, int) and isinstance(to, int) and len(self.step) < STATES:
+            self.step[at << 21 | ord(c)] = to << 8 | emitted + 128
+        return to, emitted
+
+    def walk(self, at: int | State, text: str) -> tuple[int | State, int]:
         """Where a text leads from a state, and the tokens emitted on the way."""
-        total = 0
+        get, total = self.step.get, 0
         for c in text:
-            to = self.step.get(state << 21 | ord(c))
+            to = get(at << 21 | ord(c)) if isinstance(at, int) else None
             if to is None:
-                to = self.compile(state, c)
-            state, n = to
-            total += n
-        return state, total
+                at, n = self.compile(at, c)
+                total += n
+            else:
+                at = to >> 8
+                total += (to & 255) - 128
+        return at, total
+
+    def _word(self, word: str) -> int:
+        """A word from the start. Marks behind it and lines within it go on from the words before them."""
+        at, total, rest = 0, 0, word
+        if self.bare_lines and "\n" in word:
+            *lines, rest = word.split("\n")
+            total = sum([(self.word[x] & COUNT) + 1 for x in lines if x]) + lines.count("")
+            if len(rest) > 1:
+                v = self.word[rest]
+                return v + total
+        stem = rest.rstrip(MARKS)
+        if 1 < len(stem) < len(rest) and (v := self.word[stem]) > COUNT:
+            at, total, rest = (v >> 24) - 1, total + (v & COUNT), rest[len(stem) :]
+        at, n = self.walk(at, rest)
+        return (at + 1 if isinstance(at, int) else 0) << 24 | total + n
 
     def chunk_map(self, chunk: str) -> tuple[tuple[str, ...], State | None, int]:
         """(head, state, count): the head follows the state that comes in, the rest leads to ``state`` with ``count`` tokens.
@@ -112,16 +140,16 @@ class Transducer:
         head, rest = chunk[: cut.start()], chunk[cut.start() :]
         words = re.findall(f"{SPACE}+[^{SPACE}]*", rest) if SPACE + SPACE in rest else [SPACE + w for w in rest[1:].split(SPACE)]
         word = self.word
-        count = sum([word[w] if len(w) <= WORD else self.walk(0, w)[1] for w in words[:-1]])
+        count = sum([word[w] & COUNT if len(w) <= WORD else self.walk(0, w)[1] for w in words[:-1]])
         state, n = self.walk(0, words[-1])
-        return (head,), self.states[state], count + n
+        return (head,), self.state_of(state), count + n
 
     def run(self, state: State, head: tuple[str, ...]) -> tuple[State, int]:
         at, total = self.number_of(state), 0
         for part in head:
             at, n = self.walk(at, part)
             total += n
-        return self.states[at], total
+        return self.state_of(at), total
 
     def compose(self, a: tuple, b: tuple) -> tuple:
         """The map of two neighbours, the first one first."""

@@ -59,7 +59,7 @@ def test_counts_equal_the_library(monkeypatch, chunk):
     t = count.Transducer(count.read_pieces(PIECES))
     for x in texts(500, 3):
         assert t.count(x) == len(sp.encode(x))
-    monkeypatch.setattr(count, "STATES", 40)  # the table is begun anew again and again
+    monkeypatch.setattr(count, "STATES", 40)  # most transitions find no room
     t = count.Transducer(count.read_pieces(PIECES))
     assert all(t.count(x) == len(sp.encode(x)) for x in texts(100, 4)) and len(t.step) <= 40
 
