@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import paths, similarity
 from gleaner.operators import groups, match, similar
 from gleaner.operators.cluster import connected_components
+from gleaner.plans import specimen
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,7 +39,7 @@ def dup_groups(spark, sf_dir):
     return g.select("sha", "path", F.array_join(F.col("related").cast("array<string>"), ",").alias("related"), "count", "wasted").orderBy(F.desc("wasted"), "path")
 
 
-@query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size_bytes, CASE WHEN strlen(text) >= 102400 THEN printf('%.0f KB', strlen(text) / 1024) ELSE printf('%.1f KB', strlen(text) / 1024) END AS size FROM documents WHERE strlen(text) > 10240")
+@query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size_bytes, CASE WHEN strlen(text) >= 102400 THEN printf('%.0f KB', floor(strlen(text) / 1024 + 0.5)) ELSE printf('%.1f KB', floor(strlen(text) / 1024 * 10 + 0.5) / 10) END AS size FROM documents WHERE strlen(text) > 10240")
 def large_asset(spark, sf_dir):
     """Items beyond a size, with the size in words."""
     d = _t(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size_bytes"))
@@ -310,3 +311,11 @@ def ignored_paths(spark, sf_dir):
     """Paths that any glob covers (F1)."""
     p = F.regexp_replace("url", "^[a-z]+://", "")
     return _t(spark, sf_dir, "pages").where(paths.is_ignored(p, ["**/*[02468]", "*/a*"])).select("page_id", "url")
+
+
+def _register(module) -> None:
+    QUERIES.update(module.QUERIES)
+    SQL.update(module.SQL)
+
+
+_register(specimen)

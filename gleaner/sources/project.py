@@ -77,12 +77,15 @@ def _schema_packages(spark: SparkSession, packages: list[Package]) -> DataFrame:
 
 
 def load(spark: SparkSession, config: AuditConfig) -> Project:
-    root = config.root
-    packages = manifest.discover(root)
+    packages = manifest.discover(config.root)
     if not packages:
-        raise ConfigError(f"No pubspec.yaml below {root}; point --path at a project or workspace root.")
+        raise ConfigError(f"No pubspec.yaml below {config.root}; point --path at a project or workspace root.")
+    return assemble(spark, config, packages, list_tree(spark, config.root), read_sources(spark, config, packages), read_native(spark, config, packages))
+
+
+def assemble(spark: SparkSession, config: AuditConfig, packages: list[Package], listing: DataFrame, source: DataFrame, native: DataFrame) -> Project:
+    """A project from its packages and three tables: what lies in the tree, source rows, platform tokens."""
     pkgs = _schema_packages(spark, packages)
-    listing = list_tree(spark, root)
     decls, fonts, n = [], [], 0
     for p in packages:
         for d in p.declarations:
@@ -101,7 +104,7 @@ def load(spark: SparkSession, config: AuditConfig) -> Project:
     held = files.select(F.explode(P.ancestors("path")).alias("path")).distinct()
     dirs = declarations.where("kind = 'directory'").join(listing.where("is_dir").select("path"), "path", "left_semi")
     empty = match.absent(dirs, held, ["path"])
-    return Project(config, pkgs, declarations, fonts_df, assets, materialize(read_sources(spark, config, packages), "source"), materialize(read_native(spark, config, packages), "native"), missing, empty, listing, packages)
+    return Project(config, pkgs, declarations, fonts_df, assets, materialize(source, "source"), materialize(native, "native"), missing, empty, listing, packages)
 
 
 def roots_of(package: Package, root: str) -> list[str]:
@@ -157,24 +160,31 @@ def read_sources(spark: SparkSession, config: AuditConfig, packages: list[Packag
     df = df.where(~P.is_ignored("file", list(config.ignore))).repartition(max(1, min(len(files) // 16 + 1, 4096)), "file")
 
     def make():
-        def parse(f: dict):
+        def read(f: dict):
             try:
                 with open(f["absolute"], encoding="utf-8", newline="") as h:
-                    src = h.read()
+                    yield from _source_rows(f, h.read())
             except (OSError, UnicodeDecodeError):
                 return
-            at = f["ord"] * 1_000_000
-            common = {"file": f["file"], "package": f["package"]}
-            yield common | {"kind": "file", "ord": at, "load": False}
-            for i, r in enumerate(dart.read(src, os.path.basename(f["absolute"])), 1):
-                r["explicit_package"] = r.pop("package", None)
-                yield {"load": False} | r | common | {"ord": at + i}
 
-        return parse
+        return read
 
     return map_rows(df.select("absolute", "file", "package", "ord"), make, _ROW)
 
 
+def parse_sources(texts: DataFrame) -> DataFrame:
+    """The same rows from a table (file, package, ord, text) of sources."""
+    return map_rows(texts.select("file", "package", "ord", "text"), lambda: lambda f: _source_rows(f, f["text"]), _ROW)
+
+
+def _source_rows(f: dict, src: str) -> Iterator[dict]:
+    at, common = f["ord"] * 1_000_000, {"file": f["file"], "package": f["package"]}
+    yield common | {"kind": "file", "ord": at, "load": False}
+    for i, r in enumerate(dart.read(src, os.path.basename(f["file"])), 1):
+        r["explicit_package"] = r.pop("package", None)
+        yield {"load": False} | r | common | {"ord": at + i}
+
+
 def read_native(spark: SparkSession, config: AuditConfig, packages: list[Package]) -> DataFrame:
     """(file, token, ord): file-like tokens in the platforms' text files. Ignore globs don't apply here."""
     files = []
@@ -196,6 +206,10 @@ def read_native(spark: SparkSession, config: AuditConfig, packages: list[Package
 
         return read
 
-    text = map_rows(df, make, "file string, text string, ord long")
+    return native_tokens(map_rows(df, make, "file string, text string, ord long"))
+
+
+def native_tokens(text: DataFrame) -> DataFrame:
+    """(file, ord, i, raw, token) of a table (file, text, ord)."""
     tokens = F.regexp_extract_all("text", F.lit(r"[\w./\\-]+\.\w{2,5}"), F.lit(0))
     return text.select("file", "ord", F.posexplode(tokens).alias("i", "raw")).withColumn("token", P.normalize_asset_path("raw"))
