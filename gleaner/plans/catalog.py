@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import paths, similarity
 from gleaner.operators import groups, match, similar
 from gleaner.operators.cluster import connected_components
-from gleaner.plans import specimen
+from gleaner.plans import specimen, treescan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -319,3 +319,4 @@ def _register(module) -> None:
 
 
 _register(specimen)
+_register(treescan)
