@@ -19,9 +19,13 @@ def duplicate_groups(df: DataFrame, key: str, content: str, size: Column | None
 
 
 def case_collisions(df: DataFrame, name: str) -> DataFrame:
-    """Groups of different names that lower-casing makes equal: folded name, least name, the others."""
+    """Groups of different names that lower-casing makes equal: folded name, least name, the others.
+
+    Least and greatest name tell which groups hold more than one, by partial aggregation; only such are collected.
+    """
     names = df.select(F.col(name).alias("n")).where("n is not null").distinct()
-    g = names.groupBy(F.lower("n").alias("folded")).agg(F.sort_array(F.collect_list("n")).alias("all")).where(F.size("all") > 1)
+    several = names.groupBy(F.lower("n").alias("folded")).agg(F.min("n").alias("lo"), F.max("n").alias("hi")).where("lo <> hi").select("folded")
+    g = names.withColumn("folded", F.lower("n")).join(several, "folded").groupBy("folded").agg(F.sort_array(F.collect_list("n")).alias("all"))
     return g.select("folded", F.element_at("all", 1).alias("path"), F.slice("all", 2, F.size("all") - 1).alias("related"))
 
 

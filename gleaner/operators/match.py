@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.paths import ancestors
@@ -14,18 +14,21 @@ PIECE = 256
 def match_cascade(refs: DataFrame, targets: DataFrame, ref_id: str, tiers: list[tuple[Column, Column]], target_columns: list[str]) -> DataFrame:
     """All targets of the first tier that has any, for each reference.
 
-    A tier is a pair of key expressions, of the reference and of the target; a null key matches nothing. Each tier is
-    an equi-join, so Spark may broadcast or shuffle as the sizes suggest; the least tier is then kept by an aggregate
-    that carries one number for each reference.
+    A tier is a pair of key expressions, of the reference and of the target; a null key matches nothing. A reference
+    first meets each tier's distinct keys, which gives its tier; then it meets the targets of that tier alone. All of
+    it is equi-joins, so Spark may broadcast or shuffle as the sizes suggest, and no tier's hits are made in vain.
     """
-    hits = None
-    for i, (left, right) in enumerate(tiers, 1):
-        l = refs.withColumn("_key", left)
-        r = targets.select(right.alias("_key"), *target_columns)
-        tier = l.join(r, "_key").select(ref_id, F.lit(i).alias("tier"), *target_columns)
-        hits = tier if hits is None else hits.unionByName(tier)
-    least = F.min("tier").over(Window.partitionBy(ref_id))
-    return hits.withColumn("_least", least).where("tier = _least").drop("_least").distinct()
+    keyed = refs.select(ref_id, *[left.alias(f"_k{i}") for i, (left, _) in enumerate(tiers)])
+    for i, (_, right) in enumerate(tiers):
+        known = targets.select(right.alias(f"_k{i}")).where(F.col(f"_k{i}").isNotNull()).distinct().withColumn(f"_has{i}", F.lit(True))
+        keyed = keyed.join(known, f"_k{i}", "left")
+    tier = F.coalesce(*[F.when(F.col(f"_has{i}"), F.lit(i)) for i in range(len(tiers))])
+    settled = keyed.withColumn("tier", tier).where("tier is not null")
+    key = F.coalesce(*[F.when(F.col("tier") == i, F.col(f"_k{i}").cast("string")) for i in range(len(tiers))])
+    settled = settled.select(ref_id, "tier", key.alias("_key"))
+    several = targets.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_tier"), right.cast("string").alias("_key")) for i, (_, right) in enumerate(tiers)])), *target_columns)
+    hits = settled.join(several, (F.col("tier") == F.col("_tier")) & (settled["_key"] == several["_key"]))
+    return hits.select(ref_id, (F.col("tier") + 1).alias("tier"), *target_columns).distinct()
 
 
 def ancestor_table(df: DataFrame, key: str, path: str) -> DataFrame:
@@ -55,7 +58,7 @@ def longest_directory(segments: DataFrame, ref_id: str, segment: str, dirs: Data
     parts = F.flatten(F.transform(F.filter("_lengths", lambda k: k <= n), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col("_s"), i, k))))
     sub = cut.select(ref_id, F.explode(F.array_distinct(parts)).alias(directory))
     hit = sub.join(dirs.select(directory, order), directory)
-    return hit.groupBy(ref_id).agg(F.max_by(directory, F.struct(F.length(directory), -F.col(order))).alias(directory))
+    return hit.groupBy(ref_id).agg(F.min_by(directory, F.struct(-F.length(directory), F.col(order))).alias(directory))
 
 
 def absent(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

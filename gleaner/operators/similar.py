@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.similarity import bigrams, hamming
@@ -17,19 +18,29 @@ CLASSES = 64
 def hamming_pairs(df: DataFrame, key: str, bits: str, threshold: int, width: int = 64) -> DataFrame:
     """Pairs (a, b, distance) at ``threshold`` differing bits or fewer.
 
-    Two words that differ in at most t bits agree on one of t + 1 bands entirely, so pairs meet by band equality and
-    none is missed. Equal words first collapse to one representative; members follow by class.
+    Of words cut into m bands, two that differ in at most t bits differ in at most t // m bits of one band, so pairs
+    meet by equality of one side's band with the other side's band or its neighbours at that distance, and none is
+    missed. Small thresholds take t + 1 bands and no neighbours; larger ones fewer and wider bands, which share out the
+    words far more finely than many narrow ones. Equal words first collapse to one representative; members follow.
     """
-    bands = threshold + 1
+    reach = min(2, threshold // 7)
+    bands = min(width, threshold // (reach + 1) + 1)
     edges = [round(i * width / bands) for i in range(bands + 1)]
     rows = df.where(F.col(bits).isNotNull()).select(F.col(key).alias("k"), F.col(bits).cast("long").alias("h"))
     reps = rows.groupBy("h").agg(F.min("k").alias("k"))
-    part = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("h", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1)).alias("v")) for i, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo])
-    cut = reps.select("k", "h", F.inline(part))
-    x, y = cut.alias("x"), cut.alias("y")
+    value = lambda lo, hi: F.shiftrightunsigned("h", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1))
+    spans = [(i, lo, hi) for i, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo]
+    own = F.array(*[F.struct(F.lit(i).alias("band"), value(lo, hi).alias("v")) for i, lo, hi in spans])
+
+    def near(i: int, lo: int, hi: int) -> Column:
+        masks = [sum(1 << b for b in c) for r in range(reach + 1) for c in itertools.combinations(range(hi - lo), r)]
+        return F.transform(F.lit(masks).cast("array<long>"), lambda m: F.struct(F.lit(i).alias("band"), value(lo, hi).bitwiseXOR(m).alias("v")))
+
+    both = F.flatten(F.array(*[near(*s) for s in spans]))
+    x, y = reps.select("k", "h", F.inline(own)).alias("x"), reps.select("k", "h", F.inline(both if reach else own)).alias("y")
     met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.k") < F.col("y.k")))
-    near = met.withColumn("distance", hamming("x.h", "y.h")).where(F.col("distance") <= threshold)
-    between = near.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), "distance").distinct()
+    near_ = met.withColumn("distance", hamming("x.h", "y.h")).where(F.col("distance") <= threshold)
+    between = near_.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), "distance").distinct()
     # equal words: a star from the representative keeps every component, and one row a member
     equal = rows.join(reps.withColumnRenamed("k", "rep"), "h").where("k <> rep").select(F.col("rep").alias("a"), F.col("k").alias("b"), F.lit(0).alias("distance"))
     return between.unionByName(equal)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import logging
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,12 +47,15 @@ def summarize(context: checks.Context, findings: DataFrame) -> dict:
     return out
 
 
-def run(spark: SparkSession, config: AuditConfig, registry: dict[str, checks.Check] | None = None) -> Audit:
-    """Checks that aren't selected are never planned. A check under a name of its own runs with ``all`` only."""
+def run(spark: SparkSession, config: AuditConfig, registry: dict[str, checks.Check] | None = None, hasher: checks.Hasher = checks.images.fingerprint) -> Audit:
+    """Checks that aren't selected are never planned. A check under a name of its own runs with ``all`` only.
+
+    ``hasher`` makes the fingerprint of a picture's pixels; files are read, digested and fingerprinted once for all checks.
+    """
     began = time.time()
     project = load(spark, config)
     log.info("%d package(s): %s", len(project.package_list), ", ".join(p.name for p in project.package_list))
-    context = checks.Context(project, resolve(project), config)
+    context = checks.Context(project, resolve(project), config, hasher=hasher)
     parts = []
     for name, check in (registry or checks.REGISTRY).items():
         if config.runs(name) if name in CHECKS else "all" in config.checks:
@@ -66,6 +69,17 @@ def run(spark: SparkSession, config: AuditConfig, registry: dict[str, checks.Che
     return out
 
 
+@dataclass(frozen=True)
+class Runner:
+    """Audits with checks and a picture hasher of one's own, for use inside other programs."""
+
+    registry: dict[str, checks.Check] = field(default_factory=lambda: dict(checks.REGISTRY))
+    hasher: checks.Hasher = checks.images.fingerprint
+
+    def run(self, spark: SparkSession, config: AuditConfig) -> Audit:
+        return run(spark, config, self.registry, self.hasher)
+
+
 def _row(r) -> dict:
     d = r.asDict(recursive=True)
     d["data"] = json.loads(d["data"]) if d["data"] else {}

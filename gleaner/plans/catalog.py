@@ -181,42 +181,22 @@ def cluster_stats(spark, sf_dir):
 
 _RATIO = similarity.similarity_ratio(5)
 _DICE_SQL = f"""SELECT a, b FROM (
-  WITH t AS (SELECT text, min(doc_id) AS k FROM documents WHERE length(text) BETWEEN 2 AND 400 GROUP BY text),
+  WITH t AS (SELECT text, min(doc_id) AS k FROM documents WHERE length(text) > 0 GROUP BY text),
   g AS (SELECT k, length(text) - 1 AS n, text[i:i + 1] AS g, count(*) AS c FROM t, LATERAL (SELECT unnest(range(1, length(text))) AS i) GROUP BY ALL)
   SELECT x.k AS a, y.k AS b FROM g x JOIN g y ON x.g = y.g AND x.k < y.k GROUP BY x.k, y.k, x.n, y.n HAVING 2 * sum(least(x.c, y.c)) >= {_RATIO} * (x.n + y.n)
   UNION ALL SELECT k, doc_id FROM t JOIN documents d ON d.text = t.text WHERE doc_id <> k)"""
 
 
-def _short(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").where(F.length("text").between(2, 400))
-
-
 @query(_DICE_SQL)
 def dice_pairs(spark, sf_dir):
-    """Pairs of near texts by bigram overlap."""
-    return similar.dice_pairs(_short(spark, sf_dir), "doc_id", "text", _RATIO)
-
-
-@query(_components_sql(_DICE_SQL))
-def dice_clusters(spark, sf_dir):
-    """Single-link clusters of near texts."""
-    return connected_components(similar.dice_pairs(_short(spark, sf_dir), "doc_id", "text", _RATIO), "a", "b")
-
-
-#: The same of all documents; short texts alone are kept above as they were.
-_DICE_WHOLE_SQL = _DICE_SQL.replace("BETWEEN 2 AND 400", "> 0")
-
-
-@query(_DICE_WHOLE_SQL)
-def dice_pairs_whole(spark, sf_dir):
     """Pairs of near texts by bigram overlap, of all documents and whole texts."""
     return similar.dice_pairs(_t(spark, sf_dir, "documents"), "doc_id", "text", _RATIO)
 
 
-@query(_components_sql(_DICE_WHOLE_SQL))
-def dice_clusters_whole(spark, sf_dir):
+@query(_components_sql(_DICE_SQL))
+def dice_clusters(spark, sf_dir):
     """Single-link clusters of near texts, of all documents and whole texts."""
-    return connected_components(dice_pairs_whole(spark, sf_dir), "a", "b")
+    return connected_components(dice_pairs(spark, sf_dir), "a", "b")
 
 
 @query("SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, CAST(max(CASE event_type WHEN 'purchase' THEN 2 WHEN 'view' THEN 1 WHEN 'click' THEN 1 ELSE 0 END) AS INTEGER) AS status FROM events GROUP BY 1, 2")

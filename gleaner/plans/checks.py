@@ -30,12 +30,17 @@ def _none(kind: str) -> Column:
     return F.expr(f"cast(array() as array<{kind}>)")
 
 
+#: Pixels (height x width x channels) to width, height, d_hash, has_alpha and uses_transparency; null for no picture.
+Hasher = Callable[[np.ndarray | None], dict | None]
+
+
 @dataclass
 class Context:
     project: Project
     usage: Resolution
     config: AuditConfig
     kept: dict = field(default_factory=dict)
+    hasher: Hasher = images.fingerprint
 
     @property
     def assets(self) -> DataFrame:
@@ -120,17 +125,24 @@ def contents(ctx: Context) -> DataFrame:
         return ctx.kept["contents"]
     most = ctx.config.max_hash_size
 
+    hasher = ctx.hasher
+
     def make():
         def read(f: dict):
+            low = f["path"].lower()
+            picture, vector = low.endswith(".png") and f["size_bytes"] <= most, low.endswith(".svg")
             try:
                 with open(f["absolute_path"], "rb") as h:
+                    if not (picture or vector):  # of any size, so digested as it is read
+                        yield {"path": f["path"], "sha": hashlib.file_digest(h, "sha256").hexdigest()}
+                        return
                     data = h.read()
             except OSError:
                 return
-            row, low = {"path": f["path"], "sha": hashlib.sha256(data).hexdigest()}, f["path"].lower()
-            if low.endswith(".png") and f["size_bytes"] <= most:
-                row |= images.fingerprint(images.decode_png(data)) or {}
-            if low.endswith(".svg"):
+            row = {"path": f["path"], "sha": hashlib.sha256(data).hexdigest()}
+            if picture:
+                row |= hasher(images.decode_png(data)) or {}
+            if vector:
                 try:
                     norm = svg.normalize(data.decode("utf-8"))
                 except UnicodeDecodeError:
@@ -169,13 +181,14 @@ def _jvm_images(ctx: Context) -> DataFrame | None:
             to.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(jvm_path("file", None, r["absolute_path"]), to)
         seen += copies
         names = names.unionByName(spark.createDataFrame([(re.sub("^file:(//)?", "", at), r["path"]) for at, r in zip(copies, hidden)], "absolute_path string, path string"))
+    hasher = ctx.hasher
     pixels = spark.read.format("image").option("dropInvalid", True).load(seen)
 
     def make():
         def work(r: dict):
             a = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["nChannels"])
             a = a[:, :, [2, 1, 0, *range(3, a.shape[2])]] if a.shape[2] >= 3 else a
-            yield {"absolute_path": re.sub("^file:(//)?", "", r["origin"])} | {f"o_{k}": v for k, v in images.fingerprint(a).items()}
+            yield {"absolute_path": re.sub("^file:(//)?", "", r["origin"])} | {f"o_{k}": v for k, v in (hasher(a) or {}).items()}
 
         return work
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import paths as P
@@ -159,19 +159,10 @@ def resolve(project: Project) -> Resolution:
 
         return run
 
-    def make_pick():
-        def pick(r: dict):
-            """The argument that a call site passes for the awaited parameter."""
-            a = json.loads(r.pop("arguments") or "[]")
-            r["expr"] = json.dumps(a[r["index"]]) if r["index"] < len(a) else None
-            yield r
-
-        return pick
-
     occ_type = "struct<file:string,line:int,column:int,snippet:string>"
-    cut = sites.select("ord", "package", "fn", "parameter", "index", "source", F.to_json("occ").alias("occ"), "arguments")
-    cut = map_rows(cut, make_pick, "ord long, package string, fn string, parameter string, index int, source string, occ string, expr string")
-    cut = cut.select(F.lit(3).alias("stage"), "ord", "package", none.alias("explicit_package"), F.lit("constant").alias("how"), F.concat("fn", F.lit("("), "parameter", F.lit(")")).alias("via"), F.lit(False).alias("load"), "source", F.from_json("occ", occ_type).alias("occ"), "expr")
+    # the argument that a call site passes for the awaited parameter
+    argument = F.get(F.from_json("arguments", "array<string>"), F.col("index"))
+    cut = sites.select(F.lit(3).alias("stage"), "ord", "package", none.alias("explicit_package"), F.lit("constant").alias("how"), F.concat("fn", F.lit("("), "parameter", F.lit(")")).alias("via"), F.lit(False).alias("load"), "source", "occ", argument.alias("expr"))
     everything = candidates.unionByName(uses).unionByName(cut).withColumn("occ", F.to_json("occ"))
     schema = "stage int, ord long, package string, explicit_package string, how string, via string, load boolean, source string, occ string, exact string, segments array<string>"
     resolved = map_rows(everything, make_names, schema).withColumn("occ", F.from_json("occ", occ_type))
@@ -235,9 +226,9 @@ def resolve(project: Project) -> Resolution:
 
 
 def _directories(assets: DataFrame) -> DataFrame:
-    """(dir, i): every directory above an asset, by either path, numbered by first asset."""
-    first = _ancestors(assets).groupBy("dir").agg(F.min(F.struct("path", F.length("dir").alias("n"))).alias("at"))
-    return first.select("dir", F.row_number().over(Window.orderBy("at.path", F.desc("at.n"), "dir")).cast("long").alias("i"))
+    """(dir, i): every directory above an asset, by either path, with what orders it: its first asset, the longer first."""
+    first = _ancestors(assets).groupBy("dir").agg(F.min("path").alias("path"))
+    return first.select("dir", F.struct("path", (-F.length("dir")).alias("n"), F.col("dir").alias("d")).alias("i"))
 
 
 def _ancestors(assets: DataFrame) -> DataFrame:

@@ -1,8 +1,7 @@
 """Scratch tables in the folder that every executor shares.
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir``: a lost executor then costs a re-read, never a
-recomputation of everything before. Only where that setting is absent (tests, a laptop) does this module choose a
-folder of its own.
+recomputation of everything before. Only where that setting is absent does this module choose a folder of its own.
 """
 
 from __future__ import annotations
@@ -18,15 +17,26 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one, removed at exit, where the setting is absent."""
+    """The folder named by ``spark.checkpoint.dir``; without that setting, a temporary one in local mode alone.
+
+    On a cluster the home folder of its default file system stands in, unless that is each machine's own disk: then
+    there is no place that all executors share, and an error says so.
+    """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
     if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="gleaner-")
-        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-    return "file://" + _own[app]
+        if master == "local" or master.startswith("local["):
+            at = tempfile.mkdtemp(prefix="gleaner-")
+            atexit.register(shutil.rmtree, at, ignore_errors=True)
+            _own[app] = "file://" + at
+        else:
+            fs = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration())
+            if fs.getUri().getScheme() == "file":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            _own[app] = fs.getHomeDirectory().toString()
+    return _own[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -206,3 +206,47 @@ def test_scaled_variants_of_names_with_an_underscore(tree):
     r = app(tree, {A + "_big.bmp": bmp(64), A + "small.bmp": bmp(32)}, "").audit("similar")
     s = only(r, "SCALED_VARIANT")
     assert {s["path"], *s["related_paths"]} == {A + "_big.bmp", A + "small.bmp"}
+
+
+def test_public_names_and_a_hasher_of_ones_own(tree, spark):
+    import gleaner
+
+    assert all(getattr(gleaner, n) is not None for n in gleaner.__all__) and gleaner.REGISTRY
+    app(tree, {A + "a.png": png(), A + "b.png": png(pattern="reverse"), A + "c.txt": "x"}, "")
+
+    def one(img):  # every picture looks alike
+        return img is not None and {"width": 1, "height": 1, "d_hash": 7, "has_alpha": False, "uses_transparency": False} or None
+
+    config = gleaner.AuditConfig(str(tree.root), checks=frozenset(["similar"]))
+    r = gleaner.Runner(hasher=one).run(spark, config)
+    assert only(r, "SIMILAR_ASSETS")["related_paths"] == [A + "b.png"]
+    assert not gleaner.Runner({}).run(spark, config).rows
+
+
+def test_interlaced_png():
+    import numpy as np
+
+    from gleaner.plans.treescan import _png
+    from gleaner.sources.images import decode_png
+
+    r = np.random.default_rng(1)
+    for h, w in ((1, 1), (3, 5), (8, 9), (17, 2)):
+        v = r.integers(0, 256, (h, w)).astype(np.uint8)
+        for kind in range(3):
+            plain, laced = decode_png(_png(v, kind, 90, False)), decode_png(_png(v, kind, 90, True))
+            assert (plain == laced).all() and (laced[:, :, 0] == v).all()
+
+
+def test_no_machine_local_scratch_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace as S
+
+    import pytest
+
+    from gleaner import scratch
+
+    fs = S(getUri=lambda: S(getScheme=lambda: "file"))
+    jvm = S(org=S(apache=S(hadoop=S(fs=S(FileSystem=S(get=lambda _: fs))))))
+    context = S(getConf=lambda: S(get=lambda k: None), applicationId="a-cluster", master="yarn", _jvm=jvm)
+    fake = S(sparkContext=context, conf=S(get=lambda k, d: None), _jsc=S(hadoopConfiguration=lambda: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(fake)

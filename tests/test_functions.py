@@ -169,8 +169,8 @@ def test_whole_dice_pairs_of_long_documents(spark, tmp_path):
     want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if texts[a] and texts[a] == texts[b] and a == of(texts[b])}
     want |= {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if texts[a] != texts[b] and a == of(texts[a]) and b == of(texts[b]) and grams[a] and grams[b] and 2 * (grams[a] & grams[b]).total() >= _RATIO * (grams[a].total() + grams[b].total())}
     assert any(len(texts[a]) > 400 and texts[a] != texts[b] for a, b in want)
-    assert {(x.a, x.b) for x in queries()["dice_pairs_whole"](spark, str(tmp_path)).collect()} == want
-    assert {x.node: x.component for x in queries()["dice_clusters_whole"](spark, str(tmp_path)).collect()}[2] == 0
+    assert {(x.a, x.b) for x in queries()["dice_pairs"](spark, str(tmp_path)).collect()} == want
+    assert {x.node: x.component for x in queries()["dice_clusters"](spark, str(tmp_path)).collect()}[2] == 0
 
 
 def rows(src):
