@@ -29,7 +29,8 @@ STRETCH = 4
 _COMMON = rf"(?<= )(?={_STOP} )"
 #: An anchor, common words being marked, and in look-ahead the two content words after it.
 _ANCHOR = r"~([^ ]++)(?= (?:~[^ ]++ )*+([^ ]++) (?:~[^ ]++ )*+([^ ]++) )"
-_PAIR = r"([^~ ][^ ]*+)(?= ([^~ ][^ ]*+) )(?! (?:[^ ]++ ){0,%d}~)" % (STRETCH - 1)
+#: A word and in look-ahead the next one. What must not follow is asked first: groups of a failed attempt would stay set.
+_PAIR = r"(?![^ ]++ (?:[^ ]++ ){0,%d}~)([^~ ][^ ]*+)(?= ([^~ ][^ ]*+) )" % (STRETCH - 1)
 #: Rows of neighbouring ids that one window orders, about.
 RUN = 256
 
@@ -62,11 +63,14 @@ def _text(s: Column) -> Column:
     return F.array_join(s.cast("array<string>"), ",")
 
 
-def _runs(docs: DataFrame) -> Column:
-    """A number for each row that grows with doc_id and cuts the ids into runs of about RUN rows each, nulls lowest."""
+def _runs(docs: DataFrame) -> tuple[Column, int]:
+    """A number for each row that grows with doc_id and cuts the ids into runs of about RUN rows each, nulls lowest; and how many follow a knot.
+
+    The knots are 256 quantiles of the ids at most, whatever the rows.
+    """
     n, lo, hi = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
     if lo is None or lo == hi:
-        return F.when(F.col("doc_id").isNull(), -1).otherwise(0).cast("long")
+        return F.when(F.col("doc_id").isNull(), -1).otherwise(0).cast("long"), 1
     knots = docs.agg(F.percentile_approx("doc_id", [i / 256 for i in range(257)], 20_000)).first()[0]
     knots = sorted({lo, *knots, hi})
     per = max(1, -(-n // (RUN * (len(knots) - 1))))
@@ -75,7 +79,7 @@ def _runs(docs: DataFrame) -> Column:
     a = F.element_at(edges, i)
     b = F.coalesce(F.try_element_at(edges, i + 1), a + 1)
     within = F.floor((F.col("doc_id") - a) * per / F.greatest(b - a, F.lit(1)))
-    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(i * (per + 1) + F.least(within, F.lit(per))).cast("long")
+    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(i * (per + 1) + F.least(within, F.lit(per))).cast("long"), per + 1
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -83,16 +87,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     The edited text has the last third of the code points replaced by the first as many of the next document in
     descending order of ids; the last document's next is the first. Rows of equal id follow each other by the CRC of
-    their texts, rows without an id come last. Null texts are empty. An empty table gives an empty result. All rows
-    of one id are ordered by one task.
+    their texts, rows without an id come last. Null texts are empty; equal texts, repeated rows included, have equal
+    fingerprints. An empty table gives an empty result. A very long text is one row, and the work on it grows with its
+    length. All rows of one id are ordered by one task. Columns other than the two named are not looked at.
     """
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    run = _runs(docs.select("doc_id"))
+    run, per = _runs(docs.select("doc_id"))
     tie = F.crc32(F.col("text").cast("binary"))
     # the first row of each run also closes the run above it; the run numbers and their highest ids are one small row each
     heads = docs.select("doc_id", run.alias("run")).groupBy("run").agg(F.max("doc_id").alias("top"))
-    above = Window.orderBy("run")
-    heads = heads.withColumn("to", F.coalesce(F.lead("run").over(above), F.first("run").over(above.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    # within a knot's runs the next one is the window's; behind the last it is the first run of a later knot, or the very first
+    heads = heads.withColumn("knot", F.floor(F.col("run") / per))
+    firsts = sorted(r["run"] for r in heads.groupBy("knot").agg(F.min("run").alias("run")).collect())  # a row a knot
+    after = F.element_at(F.filter(F.lit(firsts or [0]).cast("array<long>"), lambda v: v > F.col("run")), 1)
+    following = F.when(F.col("run") < F.lit(firsts[-1] if firsts else 0), after).otherwise(F.lit(firsts[0] if firsts else 0).cast("long"))
+    heads = heads.withColumn("to", F.coalesce(F.lead("run").over(Window.partitionBy("knot").orderBy("run")), following))
     heads = materialize(heads.select(F.col("run").alias("of"), "top", "to"), "heads")
     if heads.count() * 64 <= BROADCAST_BYTES:  # else both sides are shuffled
         heads = F.broadcast(heads)

@@ -173,10 +173,42 @@ def test_fingerprints(docs, no_docs, corpus):
     assert one.near_next == 1.0
 
 
+def brute_signatures(text):
+    """The chains of a text as plain loops over its words find them, independently of the expressions."""
+    words = [w for w in re.sub(r"[\W_]+", " ", (text or "").lower()).split()]
+    common = [w in spotsigs.COMMON for w in words]
+    content = lambda i: next((j for j in range(i, len(words)) if not common[j]), None)
+    out = set()
+    for i, w in enumerate(words):
+        if common[i]:
+            a = content(i + 1)
+            b = None if a is None else content(a + 1)
+            if b is not None:
+                out.add((w, words[a], words[b]))
+        elif i + 1 < len(words) and not any(common[i + 1 : i + 1 + spotsigs.STRETCH]):
+            out.add((w, words[i + 1]))
+    return out
+
+
+def test_signatures_equal_brute_force(spark):
+    r = random.Random(12)
+    pool = [*spotsigs.COMMON[:12], "stone", "river", "Lamp", "née", "x1", "Straße", "42"]
+    rows = [(i, r.choice([" ", ", ", "\n"]).join(r.choice(pool) for _ in range(r.randrange(40)))) for i in range(400)]
+    got = {x.doc_id: x.sigs for x in spotsigs.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: brute_signatures(t) for i, t in rows}
+    # hashes stand for chains: equal chains of any two texts have equal hashes, and different sets differ in number or in kind
+    assert all(len(got[i]) == max(1, len(want[i])) for i in want)
+    for i in range(0, 400, 7):
+        for j in range(i + 1, 400, 11):
+            if want[i] and want[j]:
+                assert len(set(got[i]) & set(got[j])) == len(want[i] & want[j])
+
+
 def test_fingerprints_cross_runs(monkeypatch, docs, corpus):
     want = sorted(map(tuple, spotsigs.fingerprints(docs).collect()))
-    monkeypatch.setattr(spotsigs, "RUN", 1)
-    assert sorted(map(tuple, spotsigs.fingerprints(docs).collect())) == want
+    for run in (1, 3, 7):
+        monkeypatch.setattr(spotsigs, "RUN", run)
+        assert sorted(map(tuple, spotsigs.fingerprints(docs).collect())) == want
 
 
 def test_similar_pairs_equal_brute_force(docs):
