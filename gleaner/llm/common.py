@@ -28,14 +28,27 @@ def hold(key: tuple, make: Callable[[], object]) -> object:
     return _held[key]
 
 
+_tuned = False
+
+
 def let_go(key: tuple | None = None) -> None:
-    """Called where a task begins: give up what earlier tasks have left in this worker, and return the memory."""
+    """Called where a task begins or ends: give up what was held for others than ``key``, and return memory to the system.
+
+    Workers outlive their tasks, and several share an executor with its JVM: what one keeps, the others lack. Large
+    arrays are mapped each by itself, so that they go back when they are freed.
+    """
+    global _tuned
     if any(k != key for k in _held):
         _held.clear()
     gc.collect()
-    pa.default_memory_pool().release_unused()
     try:
-        ctypes.CDLL(None).malloc_trim(0)
+        libc = ctypes.CDLL(None)
+        if not _tuned:
+            pa.set_memory_pool(pa.system_memory_pool())
+            libc.mallopt(-8, 2)  # arenas
+            libc.mallopt(-3, 1 << 18)  # bytes from which an array is mapped by itself
+            _tuned = True
+        libc.malloc_trim(0)
     except (OSError, AttributeError):  # not this C library
         pass
 
@@ -74,6 +87,8 @@ def per_row(df: DataFrame, keep: list[str], column: str, schema: str, make: Call
             columns = work(b.column("_in").to_pylist())
             old = [b.column(c) for c in keep] + [b.column("_in")] * bool(keep_as)
             yield pa.RecordBatch.from_arrays(old + [pa.array(v, arrow[t]) for v, (_, t) in zip(columns, added)], names=[*keep, *[keep_as] * bool(keep_as), *[n for n, _ in added]])
+        b = columns = old = work = None  # noqa: F841
+        let_go(held)
 
     kinds = dict(df.dtypes)
     slim = df.select(*[F.col(f"`{c}`") for c in keep], F.col(column).alias("_in"))

@@ -30,7 +30,7 @@ from gleaner.scratch import drop, materialize
 
 #: Words in a window and in an anchor; different spans of one prefix that one task takes; by how many words a crowded
 #: prefix grows; words of all groups that are sorted together.
-WINDOW, ANCHOR, GROUP, STEP, BATCH = 35, 8, 5_000, 8, 200_000
+WINDOW, ANCHOR, GROUP, STEP, BATCH = 35, 8, 5_000, 8, 100_000
 #: Bytes of words that are handed over at a time.
 OUT = 2 << 20
 
@@ -186,6 +186,8 @@ def _trees(window: int) -> Callable:
             last = keys[-1]
         if held:
             yield solve(held)
+        held = b = None  # noqa: F841
+        let_go()
 
     return run
 
@@ -278,6 +280,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> tupl
                     out, size = [], 0
         if out:
             yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+        word = out = b = lists = texts_ = h = v = words = None  # noqa: F841
+        let_go()
 
     cut_ = materialize(texts.mapInArrow(fetch, _ROWS), "spans-words")
     hits = _planted(cut_.where(F.col("spans") <= GROUP), window)
