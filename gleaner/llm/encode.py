@@ -21,6 +21,10 @@ from gleaner.llm.common import hold, per_row, table, vocabulary
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]|[ \n\t\r] ")
 
 
+#: Pieces and chunks remembered in one generation; a worker holds one codec at a time.
+CHUNKS = 200_000
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -35,8 +39,8 @@ class Codec:
         self.merger = Merger({b.decode("latin-1"): i for b, i in self.ranks.items()})
         self.id_of = [str(self.merger.ranks[t]) for t in self.merger.names]
         self.find = regex.compile(pattern.replace(r"\s", "[\\t-\\r \\x85\\xa0  -     　]").replace(r"\S", "[^\\t-\\r \\x85\\xa0  -     　]").replace("[^[\\t-\\r \\x85\\xa0  -     　]", "[^\\t-\\r \\x85\\xa0  -     　")).findall
-        self.piece = Bounded(self._piece)
-        self.chunk = Bounded(self._chunk)
+        self.piece = Bounded(self._piece, CHUNKS)
+        self.chunk = Bounded(self._chunk, CHUNKS)
 
     def _piece(self, piece: str) -> str:
         b = piece.encode("utf-8", "surrogatepass")
