@@ -1,7 +1,7 @@
 """From string expressions to asset usage.
 
-Constants and generated accessors form a dictionary that is small beside the code that uses it; it is resolved where
-expressions are, from a broadcast copy. All matching between resolved values and assets is joins.
+Constants and generated accessors form a dictionary that is small beside the code that uses it; it is counted, cut down
+to what expressions lead to where it isn't, and resolved where expressions are, from a broadcast copy. All matching between resolved values and assets is joins.
 """
 
 from __future__ import annotations
@@ -121,21 +121,51 @@ def fallback_accessors(assets: DataFrame) -> DataFrame:
     return groups.last_wins(forms, ["accessor"], "package_path", "path")
 
 
-def _dictionary(project: Project) -> tuple[dict, dict, dict]:
-    """Constants, accessors and fallback names: one row for each name, last and first definitions by their order."""
+
+
+
+#: Names that are taken as they are, and that a dictionary may hold at all: it is broadcast.
+SMALL, MOST = 200_000, 2_000_000
+_REF = r'\["ref", ?"((?:[^"\\]|\\.)*)"'
+
+
+def _dictionary(project: Project, roots: DataFrame) -> tuple[dict, dict, dict]:
+    """Constants, accessors and fallback names: one row for each name, last and first definitions by their order.
+
+    ``roots`` (expr) are the expressions to resolve. Where there are many names, those that no expression leads to stay out.
+    """
     src = project.source
     constants = groups.last_wins(src.where("kind = 'constant'"), ["name"], "expr", "ord")
     members = src.where("kind = 'member'").groupBy("owner", "name").agg(F.min_by("expr", "ord").alias("expr"))
+    fallback = fallback_accessors(project.assets)
+    if src.where("kind in ('constant', 'member')").count() + 4 * project.assets.count() > SMALL:
+        constants, members, fallback = _needed(roots, constants, members, fallback)
+        n = constants.count() + members.count() + fallback.count()
+        if n > MOST:
+            raise RuntimeError(f"expressions lead to {n} names; more than {MOST} can't be resolved at once")
     return (
         {r["name"]: r["expr"] for r in constants.collect()},
         {(r["owner"], r["name"]): json.loads(r["expr"]) for r in members.collect()},
-        {r["accessor"]: r["package_path"] for r in fallback_accessors(project.assets).collect()},
+        {r["accessor"]: r["package_path"] for r in fallback.collect()},
     )
 
 
+def _needed(roots: DataFrame, constants: DataFrame, members: DataFrame, fallback: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The entries that the expressions' names lead to: constants by constants, members and accessors by parts of names."""
+    refs = lambda df: df.select(F.explode(F.regexp_extract_all("expr", F.lit(_REF), F.lit(1))).alias("name")).distinct()
+    constants = materialize(constants, "constants")
+    known = fresh = materialize(refs(roots), "names")
+    while fresh.limit(1).count():  # as often as constants are made of constants
+        fresh = materialize(match.absent(refs(constants.join(fresh, "name", "left_semi")), known, ["name"]), "names")
+        known = known.unionByName(fresh)
+    parts = F.split("name", r"\.")
+    heads = known.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))).alias("accessor")).distinct()
+    leaves = known.select(F.explode(parts).alias("name")).distinct()
+    return constants.join(known, "name", "left_semi"), members.join(leaves, "name", "left_semi"), fallback.join(heads, "accessor", "left_semi")
+
+
 def resolve(project: Project) -> Resolution:
     spark, config, src, assets = project.assets.sparkSession, project.config, project.source, project.assets
-    names = spark.sparkContext.broadcast(_dictionary(project))
     occ = F.struct("file", "line", "column", "snippet").alias("occ")
     none = F.lit(None).cast("string")
     candidates = src.where("kind = 'candidate'").select(F.lit(1).alias("stage"), F.col("ord"), "package", "explicit_package", "how", none.alias("via"), "load", F.when(F.col("load"), F.col("snippet")).alias("source"), occ, "expr")
@@ -164,6 +194,7 @@ def resolve(project: Project) -> Resolution:
     argument = F.get(F.from_json("arguments", "array<string>"), F.col("index"))
     cut = sites.select(F.lit(3).alias("stage"), "ord", "package", none.alias("explicit_package"), F.lit("constant").alias("how"), F.concat("fn", F.lit("("), "parameter", F.lit(")")).alias("via"), F.lit(False).alias("load"), "source", "occ", argument.alias("expr"))
     everything = candidates.unionByName(uses).unionByName(cut).withColumn("occ", F.to_json("occ"))
+    names = spark.sparkContext.broadcast(_dictionary(project, everything.select("expr")))
     schema = "stage int, ord long, package string, explicit_package string, how string, via string, load boolean, source string, occ string, exact string, segments array<string>"
     resolved = map_rows(everything, make_names, schema).withColumn("occ", F.from_json("occ", occ_type))
     resolved = materialize(resolved.withColumn("ref", F.monotonically_increasing_id()), "resolved")

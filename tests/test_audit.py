@@ -208,6 +208,30 @@ def test_scaled_variants_of_names_with_an_underscore(tree):
     assert {s["path"], *s["related_paths"]} == {A + "_big.bmp", A + "small.bmp"}
 
 
+def test_dictionaries_of_needed_names_alone(tree, monkeypatch):
+    """A large project's dictionary holds what expressions lead to, constants of constants included."""
+    import pytest
+
+    from gleaner.plans import resolve
+
+    code = """
+const folder = 'assets/images/';
+class K { static const stem = folder + 'chain'; static const full = stem + '.png'; static const unusedName = 'x'; }
+final a = Image.asset(K.full);
+Widget e() => Assets.images.byConvention.image();
+"""
+    gen = "/// FlutterGen\nclass $AssetsPicsGen {\n  AssetGenImage get logo => const AssetGenImage('assets/images/logo.png');\n}\nclass Made {\n  static const $AssetsPicsGen pics = $AssetsPicsGen();\n}\n"
+    files = {f"{A}{n}.png": png(tweak=i + 3) for i, n in enumerate(["chain", "by_convention", "logo", "orphan"])} | {"lib/gen/made.gen.dart": gen, "lib/b.dart": "final l = Made.pics.logo;"}
+    app(tree, files, code)
+    want = tree.audit("unused").rows
+    assert [f["path"] for f in want if f["code"] == "UNUSED_ASSET"] == [A + "orphan.png"]
+    monkeypatch.setattr(resolve, "SMALL", 0)
+    assert tree.audit("unused").rows == want
+    monkeypatch.setattr(resolve, "MOST", 1)
+    with pytest.raises(RuntimeError, match="names"):
+        tree.audit("unused")
+
+
 def test_public_names_and_a_hasher_of_ones_own(tree, spark):
     import gleaner
 
