@@ -23,7 +23,7 @@ class Merger:
     are left out of the automaton that finds the tokens ending at each position.
     """
 
-    def __init__(self, ranks: dict[str, int]):
+    def __init__(self, ranks: dict[str, int], pairs: int = CACHE):
         self.ranks = ranks
         self.names = [t for t in ranks if len(t) == 1 or self.merge(t) == [t]]
         self.sizes = [len(t) for t in self.names]
@@ -32,7 +32,29 @@ class Merger:
         for i, t in enumerate(self.names):
             self.find.add_word(t, i)
         self.find.make_automaton()
-        self.pairs = Bounded(lambda key: self.merge(self.names[key >> 20] + self.names[key & 0xFFFFF]) == [self.names[key >> 20], self.names[key & 0xFFFFF]])
+        self.pairs = Bounded(self._pair, pairs)
+
+    def _pair(self, key: int) -> bool:
+        """Whether two tokens may stand side by side: their joined text gives them back."""
+        a, b = self.names[key >> 20], self.names[key & 0xFFFFF]
+        return self.merge(a + b) == [a, b]
+
+    def whole(self, text: str) -> list[int]:
+        """``Prefixes(self, text).ids()``, for a text that won't grow."""
+        last, sizes, pairs = [-1] * (len(text) + 1), self.sizes, self.pairs
+        for end, t in self.find.iter(text):
+            end += 1
+            if last[end] < 0:
+                p = last[end - sizes[t]]
+                if p < 0 or pairs[p << 20 | t]:
+                    last[end] = t
+        out, end = [], len(text)
+        while end:
+            t = last[end]
+            out.append(t)
+            end -= sizes[t] if t >= 0 else 1
+        out.reverse()
+        return out
 
     def merge(self, text: str) -> list[str]:
         parts, ranks = list(text), self.ranks
@@ -111,16 +133,21 @@ class Prefixes:
 
 
 class Bounded(dict):
-    """A memo of two generations: entries not asked for while a whole generation fills are dropped."""
+    """A memo of two generations: entries not asked for while a whole generation fills are dropped.
+
+    Keys of ``long`` symbols or more, where that is given, are worked out each time and never kept.
+    """
 
-    def __init__(self, make: Callable, size: int = CACHE):
+    def __init__(self, make: Callable, size: int = CACHE, long: int | None = None):
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.size, self.long, self.old = make, size, long, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+            if self.long and len(key) >= self.long:
+                return value
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()

@@ -1,28 +1,24 @@
 """Byte-level BPE encoding and decoding of whole texts, by the prefix tables of ``bpe``.
 
-Texts fall into pieces at the tokenizer's pattern; pieces never cross a boundary where a space follows something that
-is no white space, so a text is cut there first and the resulting chunks are memoized (their number is bounded).
+A text falls into pieces at the tokenizer's pattern, and short pieces are memoized (their number is bounded).
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
 
 import regex
 from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm.bpe import Bounded, Merger, Prefixes
+from gleaner.llm.bpe import Bounded, Merger
 from gleaner.llm.common import hold, per_row, table, vocabulary
 
-#: White space other than space, tab, newline and return, or runs that end in a space: such texts aren't cut first.
-_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]|[ \n\t\r] ")
-
-
-#: Pieces and chunks remembered in one generation; a worker holds one codec at a time.
-CHUNKS = 200_000
+#: Pieces, and pairs of tokens, remembered in one generation; a worker holds one codec at a time.
+PIECES = PAIRS = 400_000
+#: Pieces of this many code points are never remembered; texts of this many are not cut into pieces all at once.
+LONG_PIECE, LONG_TEXT = 64, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -36,32 +32,25 @@ class Codec:
     def __init__(self, path: str, pattern: str = PATTERN):
         self.ranks = read_ranks(path)
         self.bytes_of = {str(i): b for b, i in self.ranks.items()}
-        self.merger = Merger({b.decode("latin-1"): i for b, i in self.ranks.items()})
+        self.merger = Merger({b.decode("latin-1"): i for b, i in self.ranks.items()}, PAIRS)
         self.id_of = [str(self.merger.ranks[t]) for t in self.merger.names]
-        self.find = regex.compile(pattern.replace(r"\s", "[\\t-\\r \\x85\\xa0  -     　]").replace(r"\S", "[^\\t-\\r \\x85\\xa0  -     　]").replace("[^[\\t-\\r \\x85\\xa0  -     　]", "[^\\t-\\r \\x85\\xa0  -     　")).findall
-        self.piece = Bounded(self._piece, CHUNKS)
-        self.chunk = Bounded(self._chunk, CHUNKS)
+        self.pattern = regex.compile(pattern.replace(r"\s", "[\\t-\\r \\x85\\xa0  -     　]").replace(r"\S", "[^\\t-\\r \\x85\\xa0  -     　]").replace("[^[\\t-\\r \\x85\\xa0  -     　]", "[^\\t-\\r \\x85\\xa0  -     　"))
+        self.find = self.pattern.findall
+        self.piece = Bounded(self._piece, PIECES, LONG_PIECE)
+        self.chunk = self.piece  # texts used to be cut at spaces before; what is remembered is one cache now
 
     def _piece(self, piece: str) -> str:
-        b = piece.encode("utf-8", "surrogatepass")
-        if b in self.ranks:  # a listed piece is one token
-            return str(self.ranks[b])
-        return ",".join([self.id_of[t] for t in Prefixes(self.merger, b.decode("latin-1")).ids()])
-
-    def _chunk(self, chunk: str) -> str:
-        return ",".join([self.piece[p] if len(p) < 64 else self._piece(p) for p in self.find(chunk)])
+        b = piece if piece.isascii() else piece.encode("utf-8", "surrogatepass").decode("latin-1")
+        if b in self.merger.ranks:  # a listed piece is one token
+            return str(self.merger.ranks[b])
+        return ",".join([self.id_of[t] for t in self.merger.whole(b)])
 
     def encode(self, text: str | None) -> str:
         """The decimal ids of a text, joined by commas; null and empty give the empty string."""
         if not text:
             return ""
-        if _ODD.search(text):
-            return self._chunk(text)
-        head, *rest = text.split(" ")
-        chunk = self.chunk
-        parts = [chunk[head] if len(head) < 256 else self._chunk(head)] if head else []
-        parts += [chunk[" " + r] if len(r) < 256 else self._chunk(" " + r) for r in rest]
-        return ",".join(parts)
+        pieces = self.find(text) if len(text) < LONG_TEXT else (m.group() for m in self.pattern.finditer(text))
+        return ",".join(map(self.piece.__getitem__, pieces))
 
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(","))) if ids else b""

@@ -31,6 +31,27 @@ def test_encoding_equals_the_library():
         assert c.decode(ids).decode() == t
 
 
+def test_a_piece_is_encoded_by_the_table_loop_and_remembered_once(monkeypatch):
+    c = encode.Codec(BYTES)
+    r = random.Random(9)
+    for _ in range(300):
+        b = "".join(r.choice("aehinrst \xc3\xa9") for _ in range(r.randrange(1, 40)))
+        assert c.merger.whole(b) == bpe.Prefixes(c.merger, b).ids()
+    assert c.merger.whole("") == []
+    merges = []
+    monkeypatch.setattr(c.merger, "merge", lambda t, merge=c.merger.merge: merges.append(t) or merge(t))
+    words = ["".join(r.choice("aehinrst") for _ in range(9)) for _ in range(3000)]
+    texts = [" ".join(r.sample(words, 200)) for _ in range(100)] + [a + "\n" + b + "  " for a, b in zip(words, words[1:])]
+    lib = tiktoken.Encoding("own", pat_str=encode.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    want = [",".join(map(str, lib.encode_ordinary(t))) for t in texts]
+    assert [c.encode(t) for t in texts] == want
+    made, held = len(merges), {k for cache in (c.chunk, c.piece) for k in cache}
+    assert [c.encode(t) for t in texts] == want and len(merges) == made
+    assert all(c.find(k) == [k] for k in held)  # pieces alone: the words at line ends used to be kept in pairs as well
+    monkeypatch.setattr(encode, "LONG_TEXT", 1)
+    assert [c.encode(t) for t in texts[:5]] == want[:5]
+
+
 def test_prefixes_append_and_edit_exactly():
     m = encode.Codec(BYTES).merger
     r = random.Random(2)
