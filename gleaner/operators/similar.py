@@ -1,51 +1,137 @@
-"""Near-duplicate pairs: Hamming distance by exact banding, and bigram overlap by length and rarity filters."""
+"""Near-duplicate pairs: Hamming distance by exact banding or by blocks, and bigram overlap by length and rarity filters."""
 
 from __future__ import annotations
 
-import itertools
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.similarity import bigrams, hamming
+from gleaner.operators.cluster import connected_components
 from gleaner.scratch import materialize
 
 #: Classes of bigrams whose counts bound a pair's overlap.
 CLASSES = 64
 
 
-def hamming_pairs(df: DataFrame, key: str, bits: str, threshold: int, width: int = 64) -> DataFrame:
-    """Pairs (a, b, distance) at ``threshold`` differing bits or fewer.
+#: Words that a block of comparisons holds, the largest threshold for which words meet by bands, members of a chunk.
+BLOCK, BANDED, CHUNK = 16_384, 6, 1000
+
+
+def _words(df: DataFrame, key: str, bits: str) -> DataFrame:
+    return df.where(F.col(bits).isNotNull()).select(F.col(key).alias("k"), F.col(bits).cast("long").alias("h"))
+
 
-    Of words cut into m bands, two that differ in at most t bits differ in at most t // m bits of one band, so pairs
-    meet by equality of one side's band with the other side's band or its neighbours at that distance, and none is
-    missed. Small thresholds take t + 1 bands and no neighbours; larger ones fewer and wider bands, which share out the
-    words far more finely than many narrow ones. Equal words first collapse to one representative; members follow.
+def near_words(words: DataFrame, threshold: int, width: int = 64) -> DataFrame:
+    """(x, y, distance) of all pairs of different words (h) at ``threshold`` differing bits or fewer, each once.
+
+    Small thresholds meet by bands: of words cut into t + 1 bands, two that differ in t bits at most agree in one. For
+    larger ones bands would be so narrow that a good part of all pairs met, so each pair of blocks is compared outright
+    by a task that holds these two blocks alone; time grows with the square of the words, memory doesn't grow.
     """
-    reach = min(2, threshold // 7)
-    bands = min(width, threshold // (reach + 1) + 1)
+    words = words.select("h").distinct()
+    return _met_in_bands(words, threshold, width) if threshold <= BANDED else _met_in_blocks(words, threshold)
+
+
+def _met_in_bands(words: DataFrame, threshold: int, width: int) -> DataFrame:
+    bands = min(width, threshold + 1)
     edges = [round(i * width / bands) for i in range(bands + 1)]
-    rows = df.where(F.col(bits).isNotNull()).select(F.col(key).alias("k"), F.col(bits).cast("long").alias("h"))
-    reps = rows.groupBy("h").agg(F.min("k").alias("k"))
     value = lambda lo, hi: F.shiftrightunsigned("h", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1))
-    spans = [(i, lo, hi) for i, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo]
-    own = F.array(*[F.struct(F.lit(i).alias("band"), value(lo, hi).alias("v")) for i, lo, hi in spans])
-
-    def near(i: int, lo: int, hi: int) -> Column:
-        masks = [sum(1 << b for b in c) for r in range(reach + 1) for c in itertools.combinations(range(hi - lo), r)]
-        return F.transform(F.lit(masks).cast("array<long>"), lambda m: F.struct(F.lit(i).alias("band"), value(lo, hi).bitwiseXOR(m).alias("v")))
-
-    both = F.flatten(F.array(*[near(*s) for s in spans]))
-    x, y = reps.select("k", "h", F.inline(own)).alias("x"), reps.select("k", "h", F.inline(both if reach else own)).alias("y")
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.k") < F.col("y.k")))
-    near_ = met.withColumn("distance", hamming("x.h", "y.h")).where(F.col("distance") <= threshold)
-    between = near_.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), "distance").distinct()
-    # equal words: a star from the representative keeps every component, and one row a member
+    own = words.select("h", F.inline(F.array(*[F.struct(F.lit(i).alias("band"), value(lo, hi).alias("v")) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))])))
+    x, y = own.alias("x"), own.alias("y")
+    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.h") < F.col("y.h")))
+    return met.select(F.col("x.h").alias("x"), F.col("y.h").alias("y"), hamming("x.h", "y.h").alias("distance")).where(F.col("distance") <= threshold).distinct()
+
+
+def _met_in_blocks(words: DataFrame, threshold: int) -> DataFrame:
+    words = materialize(words, "words")
+    n = words.count()
+    blocks = max(1, -(-n // BLOCK), min(8, n // 1024))
+    own, other = F.pmod(F.xxhash64("h"), F.lit(blocks)).alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    sent = words.select("h", own.cast("int"), other)
+    sent = sent.select((F.least("own", "other") * blocks + F.greatest("own", "other")).alias("task"), (F.col("own") > F.col("other")).alias("second"), "h")
+    sent = sent.repartition(min(4096, blocks * (blocks + 1) // 2), "task").sortWithinPartitions("task")
+
+    def compare(task: int, second: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        same = task // blocks == task % blocks
+        x = h[~second]
+        y = x if same else h[second]
+        for at in range(0, len(x), 64):
+            part = x[at : at + 64]
+            d = np.bitwise_count(part[:, None] ^ y[None, :])
+            i, j = np.nonzero(d <= threshold)
+            if same:  # each pair once
+                i, j = i[j > i + at], j[j > i + at]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(part[i].view(np.int64)), pa.array(y[j].view(np.int64)), pa.array(d[i, j].astype(np.int32))], names=["x", "y", "distance"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        now = None
+        for b in batches:
+            task, second, h = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy().view(np.uint64)
+            cuts = [0, *(np.flatnonzero(np.diff(task)) + 1), len(task)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if task[lo] != now and held:
+                    yield from compare(now, *(np.concatenate(c) for c in zip(*held)))
+                    held = []
+                now = int(task[lo])
+                held.append((second[lo:hi], h[lo:hi]))
+        if held:
+            yield from compare(now, *(np.concatenate(c) for c in zip(*held)))
+
+    return sent.select(F.col("task").cast("long"), "second", "h").mapInArrow(run, "x long, y long, distance int")
+
+
+def hamming_pairs(df: DataFrame, key: str, bits: str, threshold: int, width: int = 64) -> DataFrame:
+    """Links (a, b, distance) that make the same clusters as all pairs at ``threshold`` differing bits or fewer.
+
+    Near words are linked by their representatives, equal words by a star; ``all_hamming_pairs`` has every pair.
+    """
+    rows = _words(df, key, bits)
+    reps = rows.groupBy("h").agg(F.min("k").alias("k"))
+    rep = lambda side, name: reps.select(F.col("h").alias(side), F.col("k").alias(name))
+    near = near_words(rows, threshold, width).join(rep("x", "kx"), "x").join(rep("y", "ky"), "y").where("kx <> ky")
+    between = near.select(F.least("kx", "ky").alias("a"), F.greatest("kx", "ky").alias("b"), "distance").distinct()
     equal = rows.join(reps.withColumnRenamed("k", "rep"), "h").where("k <> rep").select(F.col("rep").alias("a"), F.col("k").alias("b"), F.lit(0).alias("distance"))
     return between.unionByName(equal)
 
 
+def all_hamming_pairs(df: DataFrame, key: str, bits: str, threshold: int, width: int = 64) -> DataFrame:
+    """Every pair (a, b, distance), a < b, at ``threshold`` differing bits or fewer, of equal words too.
+
+    Pairs of words are found first; then members meet in chunks of about ``CHUNK``, so that a word of many members is
+    shared out among tasks.
+    """
+    rows = _words(df, key, bits)
+    counts = rows.groupBy("h").agg(F.count("*").alias("c")).withColumn("n", F.ceil(F.col("c") / CHUNK).cast("int"))
+    counts = materialize(counts, "counts")
+    members = rows.join(counts, "h").select("h", F.pmod(F.xxhash64("k"), F.col("n")).cast("int").alias("chunk"), "k")
+    near = near_words(counts, threshold, width).unionByName(counts.where("c > 1").select(F.col("h").alias("x"), F.col("h").alias("y"), F.lit(0).alias("distance")))
+    for side in ("x", "y"):
+        near = near.join(counts.select(F.col("h").alias(side), F.col("n").alias(f"n{side}")), side)
+        near = near.withColumn(f"c{side}", F.explode(F.sequence(F.lit(0), F.col(f"n{side}") - 1)))
+    for side in ("x", "y"):
+        near = near.join(members.select(F.col("h").alias(side), F.col("chunk").alias(f"c{side}"), F.col("k").alias(f"k{side}")), [side, f"c{side}"])
+    found = near.where("kx < ky or x <> y and kx > ky")
+    return found.select(F.least("kx", "ky").alias("a"), F.greatest("kx", "ky").alias("b"), "distance")
+
+
+def hamming_clusters(df: DataFrame, key: str, bits: str, threshold: int, width: int = 64) -> DataFrame:
+    """(node, component) of the clusters that all pairs make: words are clustered first, their members follow."""
+    rows = _words(df, key, bits)
+    words = connected_components(near_words(rows, threshold, width), "x", "y")
+    members = materialize(rows.join(words, F.col("h") == F.col("node"), "left").select("k", F.coalesce("component", "h").alias("c")), "members")
+    least = members.groupBy("c").agg(F.min("k").alias("rep"))
+    return connected_components(members.join(least, "c").where("k <> rep"), "rep", "k")
+
+
 def dice_pairs(df: DataFrame, key: str, text: str, ratio: float) -> DataFrame:
     """Pairs (a, b) whose bigram multisets overlap by Dice's coefficient of ``ratio`` or more; equal texts always do.
 
