@@ -58,3 +58,15 @@ def test_cascade_of_repeated_customers(spark, tmp_path):
     spark.createDataFrame([(1, 0), (1, 2), (2, 0), (2, 1), (3, 1), (4, None), (None, 0)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
     got = {(r.c_custkey, r.tier, r.matches, r.first_match) for r in catalog.QUERIES["match_cascade"](spark, str(tmp_path)).collect()}
     assert got == {(1, 1, 2, 10), (2, 1, 2, 10), (3, 2, 2, 10)}
+
+
+def test_longest_directory_makes_no_substrings(spark, monkeypatch):
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("ab/é😀") for _ in range(n))
+    seg = spark.createDataFrame([(i % 150, word(r.randrange(0, 30))) for i in range(200)] + [(500, None)], "ref long, s string")
+    dirs = spark.createDataFrame([(word(r.randrange(0, 6)), r.randrange(9)) for _ in range(40)] + [(None, 1)], "dir string, i long")
+    walked = match.longest_directory(seg, "ref", "s", dirs, "dir", "i")
+    assert "explode" not in walked._jdf.queryExecution().toString()
+    got = {x.ref: (len(x.dir)) for x in walked.collect()}
+    monkeypatch.setattr(match, "TRIE", 0)
+    assert got and got == {x.ref: len(x.dir) for x in match.longest_directory(seg, "ref", "s", dirs, "dir", "i").collect()}
