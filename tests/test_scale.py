@@ -70,3 +70,36 @@ def test_longest_directory_makes_no_substrings(spark, monkeypatch):
     got = {x.ref: (len(x.dir)) for x in walked.collect()}
     monkeypatch.setattr(match, "TRIE", 0)
     assert got and got == {x.ref: len(x.dir) for x in match.longest_directory(seg, "ref", "s", dirs, "dir", "i").collect()}
+
+
+def test_dynamic_references_share_what_they_reach(tree):
+    from helpers import png, pubspec
+
+    files = {"pubspec.yaml": pubspec(assets=["assets/flags/"])} | {f"assets/flags/f{i}.png": png(tweak=i + 1) for i in range(3)}
+    files |= {f"lib/d{i}.dart": f"Widget d{i}(String c) => Image.asset('assets/flags/$c.png');\n" for i in range(9)}
+    a = tree.files(files).audit("unused")
+    assert [r.n for r in a.context.assets.select(F.size("occurrences").alias("n")).collect()] == [5, 5, 5]
+    assert [[o["file"] for o in f["occurrences"]] for f in a.rows if f["code"] == "POSSIBLY_USED_ASSET"] == [[f"lib/d{i}.dart" for i in range(5)]] * 3
+    assert [f["data"]["coveredCount"] for f in a.rows if f["code"] == "DYNAMIC_REFERENCE"] == [3] * 9
+
+
+def test_findings_about_files_resolve_nothing(spark, monkeypatch):
+    import os
+
+    import pytest
+
+    from gleaner.plans import specimen
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no driver tables")
+    monkeypatch.setattr(specimen, "_made", {})
+    monkeypatch.setattr(specimen, "resolve", lambda p: pytest.fail("resolved"))
+    assert specimen.QUERIES["finding_empty_file"](spark, "/root/testdata/sf0.001").count() >= 0
+    assert specimen.QUERIES["project_assets"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_places_in_a_sorted_table(spark):
+    df = spark.createDataFrame([(i * 7919 % 1000,) for i in range(1000)], "v long").repartition(7)
+    got = groups.numbered(df.orderBy("v"), "i").collect()
+    assert sorted((r.v, r.i) for r in got) == [(v, v + 1) for v in range(1000)]
+    assert groups.numbered(df.limit(0).orderBy("v"), "i").count() == 0
