@@ -103,3 +103,20 @@ def test_places_in_a_sorted_table(spark):
     got = groups.numbered(df.orderBy("v"), "i").collect()
     assert sorted((r.v, r.i) for r in got) == [(v, v + 1) for v in range(1000)]
     assert groups.numbered(df.limit(0).orderBy("v"), "i").count() == 0
+
+
+def test_dice_pairs_meet_in_blocks(spark, monkeypatch):
+    from collections import Counter
+
+    r = random.Random(8)
+    base = ["".join(r.choice("abcdß😀") for _ in range(n)) for n in (1, 2, 3, 17, 18, 19, 20, 21, 40, 41, 300)]
+    texts = [x for b in base for x in (b, b, b + "a", b[:-1] + "zz"[: len(b)])] + ["", None]
+    first = {t: min(str(i) for i, u in enumerate(texts) if u == t) for t in texts if t}
+    grams = {k: Counter(t[i : i + 2] for i in range(len(t) - 1)) for t, k in first.items()}
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "k string, t string")
+    for size, ratio in ((3, 0.6), (8192, 0.921875)):
+        monkeypatch.setattr(similar, "TEXTS", size)
+        want = {(min(a, b), max(a, b)) for a, b in itertools.combinations(grams, 2) if grams[a] and grams[b] and 2 * (grams[a] & grams[b]).total() >= ratio * (grams[a].total() + grams[b].total())}
+        want |= {(first[t], str(i)) for i, t in enumerate(texts) if t and first[t] != str(i)}
+        found = similar.dice_pairs(df, "k", "t", ratio)
+        assert sorted((x.a, x.b) for x in found.collect()) == sorted(want) and len(want) > 20
